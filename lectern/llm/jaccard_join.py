@@ -3,9 +3,9 @@
 Sets of word shingles are joined through index lists over rare-first prefixes
 (Wang et al., "Leveraging Set Relations in Exact Set Similarity Join", 2017):
 
-* index level: a list's entries lie in order of set size, so one list is a run
-  of size blocks; a block pair whose sizes or positions cannot reach the wanted
-  overlap is skipped whole;
+* index level: a list's entries lie in order of position and form blocks of
+  sizes that can link; a block pair whose sizes or positions cannot reach the
+  wanted overlap is skipped whole;
 * answer level: the first set of a block is computed first, the others of the
   block start from its answer.  Sets found similar to it share its component, so
   all pairs inside a component are derived and never compared; only blocks of
@@ -111,31 +111,35 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(percent: int):
-    """Entries of lists that hold more than one set, each with its block's leader.
-
-    Rows come sorted by (token, n, rep).  The first and the last list of a
-    partition may go on in another one, so they are kept whatever their length.
+    """Entries of lists that hold more than one set, each with the leaders it starts from.
+
+    Rows come sorted by (token, pos, n, rep).  An edited copy has rare shingles
+    of its own before the shared ones, so a list's first entry is the set with
+    the fewest of them, the middle of its group; it leads the sets of its size
+    block, and a set that no leader's size fits leads a block of its own.  The
+    first and the last list of a partition may go on in another one, so they are
+    kept whatever their length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         token_before: int | None = None
-        leader: tuple | None = None
+        leaders: list[tuple] = []
         first: int | None = None
 
         def batch_of(rows: list) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["token", "rep", "n", "pos", "lead"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["token", "rep", "n", "pos", "leads"])
 
         def led(row: tuple) -> tuple:
-            nonlocal leader
             token, rep, n, pos = row
-            if leader is None or leader[0] != token or 100 * leader[2] < percent * n:
-                leader = row
-                return (*row, None)
-            near = 1 + min(leader[2] - leader[3], n - pos) - 1 >= _overlap_needed(percent, leader[2], n)
-            return (*row, leader[1] if near and leader[1] != rep else None)
+            if leaders and leaders[0][0] != token:
+                leaders.clear()
+            fit = [x for x in leaders if 100 * min(x[2], n) >= percent * max(x[2], n)]
+            if not fit:
+                leaders.append(row)
+            return (*row, [x[1] for x in fit if x[1] != rep and min(x[2] - x[3], n - pos) >= _overlap_needed(percent, x[2], n)])
 
         for batch in batches:
             if not batch.num_rows:
@@ -226,8 +230,8 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
 
     entries = reps.mapInArrow(_entries, "token long, rep long, n long, pos int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = entries.repartitionByRange(parts, "token", "n", "rep").sortWithinPartitions("token", "n", "rep")
-    lists = work.table(lists.mapInArrow(_lists(percent), "token long, rep long, n long, pos int, lead long"), "lists")
+    lists = entries.repartitionByRange(parts, "token", "pos", "n", "rep").sortWithinPartitions("token", "pos", "n", "rep")
+    lists = work.table(lists.mapInArrow(_lists(percent), "token long, rep long, n long, pos int, leads array<long>"), "lists")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
@@ -244,7 +248,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     # Answers of each block's leader, and the components they give.
-    led = work.table(lists.where("lead IS NOT NULL").select(*pair("lead", "rep")).distinct(), "led")
+    led = work.table(lists.select("rep", F.explode("leads").alias("lead")).select(*pair("lead", "rep")).distinct(), "led")
     links = verified(led).select(F.col("a").alias("u"), F.col("b").alias("v"))
     shared = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
     # A document whose rows lie in several classes ties them together.
@@ -252,7 +256,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     first = work.table(components(links.union(tied), work), "first")
 
     # What is left: blocks of one list that lie in different components.
-    placed = work.table(lists.drop("lead").join(first, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")), "placed")
+    placed = work.table(lists.drop("leads").join(first, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")), "placed")
     blocks = placed.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     met = blocks.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     blocks = blocks.join(met, "token", "left_semi")
