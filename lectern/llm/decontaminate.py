@@ -184,9 +184,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], [*names, "hits"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace, width: int = WIDTH, pass_windows: int = PASS_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, hits, items) of every row: hits packs (start, end) word intervals as 64-bit pairs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _passes(docs: DataFrame, benchmark: DataFrame, work: Workspace, width: int, pass_windows: int) -> Iterator[tuple[list[Probe], list[str | None]]]:
+    """Probes and item names of each pass over the documents, one at least."""
 
     def buckets(batch: pa.RecordBatch, size: int) -> np.ndarray:
         got = []
@@ -201,24 +200,48 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace, w
     windows = work.table(items.mapInArrow(_windows(width), "item_id string, words binary").distinct(), "windows")
     passes = max(1, -(-windows.count() // pass_windows))
     part = F.pmod(F.xxhash64("words", "item_id"), F.lit(passes))
-
-    def one(number: int, frame: DataFrame) -> DataFrame:
+    for number in range(passes):
         rows = windows.where(part == number).collect()
         names = sorted({r.item_id for r in rows}, key=lambda x: (x is None, x))
         index = {name: i for i, name in enumerate(names)}
-        probes = build_probes([(index[r.item_id], bytes(r.words)) for r in rows], rarity)
-        lead = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema if f.name != "text")
-        return frame.mapInArrow(_scan(probes, names, "text"), f"{lead}, n_words long, hits binary, items array<string>")
-
-    if passes == 1:
-        return one(0, docs)
-    tagged = docs.withColumn("_row", F.monotonically_increasing_id())
-    first, *others = (one(i, tagged) for i in range(passes))
-    found = first
-    for more in others:
-        found = found.union(more.where("length(hits) > 0"))
-    merged = found.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("lists"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.drop("_row").mapInArrow(_merge, "doc_id long, n_words long, items array<string>, hits binary").select("doc_id", "n_words", "hits", "items")
+        yield build_probes([(index[r.item_id], bytes(r.words)) for r in rows], rarity), names
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace, width: int = WIDTH, pass_windows: int = PASS_WINDOWS) -> DataFrame:
+    """(doc_id, n_words, hits, items) of every row: hits packs (start, end) word intervals as 64-bit pairs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    schema = "doc_id long, row long, n_words long, hits binary, items array<string>"
+    found = [docs.mapInArrow(_scan(probes, names, "text"), schema) for probes, names in _passes(docs, benchmark, work, width, pass_windows)]
+    if len(found) == 1:
+        return found[0].select("doc_id", "n_words", "hits", "items")
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.union(more.where("length(hits) > 0"))
+    merged = rows.groupBy("row").agg(
+        F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("lists"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return merged.select("doc_id", "n_words", "lists", "items").mapInArrow(_merge, "doc_id long, n_words long, items array<string>, hits binary").select("doc_id", "n_words", "hits", "items")
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, work: Workspace, width: int = WIDTH, pass_windows: int = PASS_WINDOWS) -> DataFrame:
+    """The rows, unchanged, whose text holds no window."""
+
+    def clean(probes: list[Probe]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for lo, _, buf, offsets in bk.text_slices(batch.column("text")):
+                    starts, ends, first = bk.word_spans(buf, offsets, bk.ALNUM)
+                    _, at, _ = find_windows(probes, bk.word_hashes(buf, starts, ends), first)
+                    keep[lo + np.searchsorted(first, at, "right") - 1] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for probes, _ in _passes(docs, benchmark, work, width, pass_windows):
+        docs = docs.mapInArrow(clean(probes), docs.schema)
+    return docs
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:

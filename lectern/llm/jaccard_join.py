@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
@@ -275,3 +275,17 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     second = components(lift(lift(more, "a", "u"), "b", "v").select("u", "v"), work)
     placed_reps = lift(members, "rep", "c1").join(second.select(F.col("node").alias("c1"), "component"), "c1", "left")
     return placed_reps.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "c1", "doc_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, work: Workspace, width: int = 3, percent: int = 90) -> DataFrame:
+    """The rows, unchanged, of each component's least doc_id; of rows that share it, one.  Rows without doc_id stay."""
+    found = jaccard_components(docs, work, width, percent)
+    chosen = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    chosen = work.table(chosen, "chosen")
+    mark = "_jaccard_keep"
+    kept = docs.join(chosen.select(F.col("doc_id").alias(mark)), F.col("doc_id") == F.col(mark), "left_semi")
+    if chosen.where("copies > 1").limit(1).count():
+        # rows of one doc_id now lie together; the least text, source and so on of them stays
+        order = [F.xxhash64(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in docs.columns]
+        kept = kept.withColumn(mark, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(mark) == 1).drop(mark)
+    return kept.union(docs.where("doc_id IS NULL"))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, pii, topk_search
+from . import byte_bpe, chat_format, pii, quality, topk_search, toxicity, training_order, warc_fixity
 from .decontaminate import contamination_digest, find_contamination
 from .jaccard_join import jaccard_components
 from .workspace import Workspace
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The free id after the vocabulary.
+END_OF_TEXT = 50256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,24 @@ def vocabulary(path: str | None = None) -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labels outside the held-out fifth."""
+    docs, fold = _table(spark, sf_dir, "documents"), toxicity.fold_of(F.col("doc_id"), 5)
+    machine = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold != 0)
+    return _judged(toxicity.score_documents(docs, machine), fold == 0)
+
+
+def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids in permuted fixed-stride shards; one row a sequence."""
+    work = Workspace(spark, "op2")
+    content, pattern = vocabulary()
+    return training_order.materialise(_table(spark, sf_dir, "documents"), work, f"{work.path}/shards", content, pattern, END_OF_TEXT, b"epoch-0")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +64,20 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from labels outside the held-out third."""
+    docs, fold = _table(spark, sf_dir, "documents"), toxicity.fold_of(F.col("doc_id"), 3)
+    machine = quality.fit(docs, _table(spark, sf_dir, "labels"), fold != 1)
+    return _judged(quality.score_documents(docs, machine), fold == 1)
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica with one character of every 97th page overwritten."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rotten = F.when(F.col("page_id") % 97 == 0, F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    return warc_fixity.audit(warc_fixity.lay_out(pages), warc_fixity.lay_out(pages.withColumn("html", rotten)), Workspace(spark, "op8"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Workspace(spark, "op9")))
 
@@ -60,10 +94,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_training_order": op2_training_order,
     "op3_pii": op3_pii,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_topk_search": op6_topk_search,
+    "op7_quality": op7_quality,
+    "op8_warc_fixity": op8_warc_fixity,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
@@ -83,6 +121,17 @@ ORACLES: dict[str, str] = {
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op8_warc_fixity": """
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a,
+                          CASE WHEN page_id % 97 = 0 THEN '~' || substr(html, 2) ELSE coalesce(html, '') END AS b FROM pages),
+             h AS (SELECT *, 'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:' || sha256(coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || url)
+                            || '>\r\nWARC-Target-URI: ' || url || '\r\nContent-Type: text/html\r\nContent-Length: ' AS head FROM p),
+             r AS (SELECT page_id, url, head || strlen(a) || '\r\n\r\n' || a || '\r\n\r\n' AS x, head || strlen(b) || '\r\n\r\n' || b || '\r\n\r\n' AS y FROM h),
+             d AS (SELECT CAST(floor(page_id / 1024) AS BIGINT) AS archive, page_id, url, CAST(strlen(x) AS BIGINT) AS length, sha256(x) AS digest, x <> y AS bad FROM r)
+        SELECT archive, CAST(row_number() OVER w - 1 AS BIGINT) AS place, page_id,
+               CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, digest, CASE WHEN bad THEN 'corrupt' ELSE 'ok' END AS state
+        FROM d WINDOW w AS (PARTITION BY archive ORDER BY page_id, url, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    """.replace("\r\n", "' || chr(13) || chr(10) || '"),
     "op9_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_ALNUM_WORDS.format("text")} AS w FROM documents),
              b AS (SELECT item_id, {_ALNUM_WORDS.format("text")} AS w FROM benchmark),
