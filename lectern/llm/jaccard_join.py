@@ -257,11 +257,12 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
 
     # What is left: blocks of one list that lie in different components.
     placed = work.table(lists.drop("leads").join(first, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")), "placed")
-    blocks = placed.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = placed.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rem"))
     met = blocks.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     blocks = blocks.join(met, "token", "left_semi")
-    far = blocks.select("token", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    touch = blocks.join(far, "token").where(f"c < d AND 100 * hi2 >= {percent} * lo AND 100 * hi >= {percent} * lo2").select("token", "c", "d")
+    far = blocks.select("token", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rem").alias("rem2"))
+    reach = f"100 * hi2 >= {percent} * lo AND 100 * hi >= {percent} * lo2 AND {100 + percent} * least(rem, rem2) >= {percent} * (lo + lo2)"
+    touch = blocks.join(far, "token").where(f"c < d AND {reach}").select("token", "c", "d")
     other = placed.select("token", F.col("c").alias("d"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     near = f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND {100 + percent} * least(n - pos, n2 - pos2) >= {percent} * (n + n2)"
     rest = touch.join(placed, ["token", "c"]).join(other, ["token", "d"]).where(near).select(*pair("rep", "rep2")).where("a != b").distinct()
