@@ -26,11 +26,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import bounded_batches
+
 #: Pre-tokens kept per generation of a worker's memo; two generations are held.
 MEMO_ENTRIES = 250_000
 _LONG = 1 << 20
 
 
+def read_ranks(content: bytes) -> dict[bytes, int]:
+    """Token bytes and ids of a rank file."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+
+
+def _token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def decode_ids(table: list[bytes], packed: bytes) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+
+
 class RankQueue:
     """Buckets of positions by rank, least rank first, leftmost position first."""
 
@@ -79,12 +97,9 @@ class Tokenizer:
     """Encoder and decoder over a table of token bytes and ids (the ids are merge ranks)."""
 
     def __init__(self, content: bytes, pattern: str, memo: int = MEMO_ENTRIES):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-        self.ranks = ranks
-        self.size = max(ranks.values()) + 1
-        self.vocab: list[bytes] = [b""] * self.size
-        for token, rank in ranks.items():
-            self.vocab[rank] = token
+        ranks = self.ranks = read_ranks(content)
+        self.vocab = _token_bytes(ranks)
+        self.size = len(self.vocab)
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
         # Merge rank by the ids of both halves, for every split of every token.
         self.pairs: dict[int, int] = {}
@@ -153,7 +168,7 @@ class Tokenizer:
         return b"".join(parts)
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+        return decode_ids(self.vocab, packed)
 
 
 class _Memo(dict):
@@ -196,20 +211,20 @@ def encode_column(docs: DataFrame, vocabulary: bytes, pattern: str, text: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{names}, ids binary")
+    return bounded_batches(docs).mapInArrow(run, f"{names}, ids binary")
 
 
 def decode_column(rows: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids") -> DataFrame:
     """The rows with `decoded`: the bytes that the packed ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary, pattern)
+        table = _token_bytes(read_ranks(vocabulary))  # a decoder needs neither merges nor memo
         for batch in batches:
-            out = pa.array([t.decode(x.as_py() or b"") for x in batch.column(ids)], pa.binary())
+            out = pa.array([decode_ids(table, x.as_py() or b"") for x in batch.column(ids)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{names}, decoded binary")
+    return bounded_batches(rows).mapInArrow(run, f"{names}, decoded binary")
 
 
 def round_trip_digest(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:

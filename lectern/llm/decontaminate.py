@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .workspace import Workspace, bucket_counts
+from .workspace import Workspace, bounded_batches, bucket_counts
 
 WIDTH = 10
 SHINGLE = 3
@@ -195,7 +195,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, work: Workspace, width: int,
             got.append(_bucket(bk.window_hashes(words, SHINGLE)[bk.within_rows(first, SHINGLE)], RARITY_BITS))
         return np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
 
-    rarity = bucket_counts(docs.select("text"), buckets, RARITY_BITS)
+    rarity = bucket_counts(bounded_batches(docs).select("text"), buckets, RARITY_BITS)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     windows = work.table(items.mapInArrow(_windows(width), "item_id string, words binary").distinct(), "windows")
     passes = max(1, -(-windows.count() // pass_windows))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .workspace import Workspace, bucket_counts, components
+from .workspace import Workspace, bounded_batches, bucket_counts, components
 
 SKETCH_BITS = 20
 FILTER_BITS = 22
@@ -213,7 +213,7 @@ def _links(percent: int):
 
 def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; see the module's docstring."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     shift = np.uint64(64 - SKETCH_BITS)
 
     def buckets(batch: pa.RecordBatch, size: int) -> np.ndarray:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bytekit as bk
 from .toxicity import labelled_sample
+from .workspace import bounded_batches
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -216,4 +217,4 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_rows(machine, batch.column("text"), _stated(batch)))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(run, "doc_id long, score double")

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
+from .workspace import bounded_batches
 
 DECAY = 0.8
 LENGTH = 4
@@ -370,7 +371,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(machine, batch.column("text")))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFrame:
@@ -380,4 +381,4 @@ def keep_clean(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(score_texts(machine, batch.column("text")) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

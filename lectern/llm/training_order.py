@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .workspace import Workspace
+from .workspace import Workspace, bounded_batches
 
 LENGTH = 1024
 PER_SHARD = 8192
@@ -162,7 +162,7 @@ def materialise(docs: DataFrame, work: Workspace, folder: str, vocabulary: bytes
     Columns: slot, number (of the sequence before the permutation), shard,
     byte_offset, n_ids and crc32 of the slot's bytes.
     """
-    packed = work.table(docs.select("text").mapInArrow(_pack(vocabulary, pattern, end, length), "part int, local long, n_ids int, ids binary"), "packed")
+    packed = work.table(bounded_batches(docs).select("text").mapInArrow(_pack(vocabulary, pattern, end, length), "part int, local long, n_ids int, ids binary"), "packed")
     counts = packed.groupBy("part").count().orderBy("part").collect()  # one row a scan task
     first, n = [], 0
     for r in counts:

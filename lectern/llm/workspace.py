@@ -12,6 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(frame: DataFrame) -> DataFrame:
+    """The frame; batches sent to Python hold BATCH_BYTES at most, or one row, or what the session already set lower.
+
+    By default a batch may hold 64 MB of rows, and a kernel's temporaries are a
+    multiple of its batch.
+    """
+    conf = frame.sparkSession.conf
+    if int(frame.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return frame
+
+
 class Workspace:
     """A folder for intermediate tables under the cluster's shared checkpoint folder.
 
