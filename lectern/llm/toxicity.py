@@ -1,10 +1,11 @@
 """Toxicity: a subsequence string-kernel SVM with Nyström landmarks.
 
-The kernel counts common subsequences of four letters, each weighted by
-DECAY ** (letters it spans) and spanning at most seven, so "i.d.i.o.t" and
-"idxiot" keep much of the weight of "idiot".  Texts are cut into sentences and
-those into windows of at most WINDOW characters.  Landmarks are words of the
-labelled sentences: those most tied to the toxic label, and common ones.  With
+The kernel counts common subsequences of four letters or word edges, each
+weighted by DECAY ** (letters it spans) and spanning at most seven, so "idxiot"
+keeps much of the weight of "idiot"; signs put between letters span nothing.  Texts are cut into sentences and
+those into windows of at most WINDOW characters.  Landmarks are words
+and beginnings of words of the labelled sentences: those most tied to the toxic
+label, and common ones.  With
 the landmarks' kernel matrix K, a window x maps to K**(-1/2) k(x, landmarks), and
 a squared-hinge linear SVM is trained on these maps.  Only texts carry labels, so
 each round takes the top-scoring window of every toxic text as its positive
@@ -13,7 +14,7 @@ sentence (mi-SVM), against windows of clean texts.
 A trained machine is sum(alpha * k(x, landmark)), and the kernel's feature space
 is explicit: the same sum is one weight per four-letter subsequence.  Scoring
 looks these weights up for all texts of a batch at once, in time linear in the
-text; a text's score is the calibrated score of its worst window.
+text; a text's score is calibrated on its TOP worst windows.
 
 Training reads at most SAMPLE labelled texts of each class, picked by a hash,
 and at most SAMPLE_CHARS characters of them in the same order; scoring reads
@@ -42,21 +43,24 @@ LENGTH = 4
 SPAN = 7
 WINDOW = 24
 LANDMARKS = 384
+MIN_TIE = 2.5
+TOP = 3
+FOLDS = 3
 SAMPLE = 3000
-SAMPLE_CHARS = 12_000_000
-ROUNDS = 3
+SAMPLE_CHARS = 8_000_000
+ROUNDS = 2
 
-#: Letters by code from 2 on; 0 is a text's end, 1 any other character, the last code a sentence's end.
+#: Letters by code from 2 on; 0 is a text's end and 1 the edge of a word.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáèéêëíìîïòóôùúûñç"
-_BREAK = 2 + len(_LETTERS)
-ALPHABET = _BREAK + 1
+ALPHABET = 2 + len(_LETTERS)
+EDGE = 1
 # Signs that stand in for letters.
 _STAND_INS = (("0", "o"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"), ("7", "t"), ("@", "a"), ("$", "s"))
 
 
 def _code_table() -> np.ndarray:
     """Codes of the characters below U+0180."""
-    t = np.ones(0x180, dtype=np.int32)
+    t = np.full(0x180, EDGE, dtype=np.int32)
     for i, c in enumerate(_LETTERS):
         t[ord(c)] = 2 + i
         if len(c.upper()) == 1:
@@ -64,8 +68,6 @@ def _code_table() -> np.ndarray:
     for sign, letter in _STAND_INS:
         t[ord(sign)] = t[ord(letter)]
     t[0] = 0
-    for c in "\n.!?":
-        t[ord(c)] = _BREAK
     return t
 
 
@@ -78,19 +80,20 @@ def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of all texts, WINDOW ends after each, and the texts' borders.
 
     Signs between two letters ("i.d-iot") and spaces between lone letters
-    ("i d i o t") are left out, so that they cost no gap.
+    ("i d i o t") are left out, so that they cost no gap; other runs of
+    characters that are no letters are one edge, as are a text's two ends.
     """
-    joined = ("\0" * WINDOW).join([*texts, ""])
+    joined = "".join(f" {t} " + "\0" * WINDOW for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = _CODES[np.minimum(points, 0x17F)]
-    codes[points >= 0x180] = 1
+    codes[points >= 0x180] = EDGE
     n = len(codes)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64) + WINDOW
+    lengths = np.array([len(t) for t in texts], dtype=np.int64) + WINDOW + 2
     borders = np.concatenate([[0], np.cumsum(lengths)])
     if not n:
         return codes, borders
     blank = (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0)
-    letter = (codes > 1) & (codes != _BREAK)
+    letter = codes > EDGE
     sign = ~letter & ~blank
     at = np.arange(n, dtype=np.int32)
     before = np.maximum.accumulate(np.where(sign, -1, at))
@@ -102,7 +105,11 @@ def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     alone[1:] &= ~letter[:-1]
     alone[:-1] &= ~letter[1:]
     keep = np.ones(len(codes), dtype=bool)
-    keep[1:-1] = ~(blank[1:-1] & alone[:-2] & alone[2:])
+    keep[1:-1] = ~((codes[1:-1] == EDGE) & blank[1:-1] & alone[:-2] & alone[2:])
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    codes, borders = codes[keep], kept[borders]
+    keep = np.ones(len(codes), dtype=bool)
+    keep[1:] = (codes[1:] != EDGE) | (codes[:-1] != EDGE)
     kept = np.concatenate([[0], np.cumsum(keep)])
     return codes[keep], kept[borders]
 
@@ -110,13 +117,12 @@ def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.float32]]:
     """(start positions mask, feature numbers, weight) for each gap pattern.
 
-    A subsequence has letters only: breaks, sentence ends and other characters
-    can be spanned but not taken.
+    Subsequences take letters and edges, never a text's end.
     """
     n = len(codes) - SPAN + 1
     if n <= 0:
         return
-    letter = (codes > 1) & (codes != _BREAK)
+    letter = codes > 0
     pair = {}
     for d in range(1, SPAN):
         pair[d] = codes[: len(codes) - d] * ALPHABET + codes[d:]
@@ -130,7 +136,7 @@ def response(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """At each position, the weights of the subsequences that start there."""
     out = np.zeros(len(codes), dtype=np.float32)
     for _, feature, power in _subsequences(codes):
-        out[: len(feature)] += weights[feature] * power  # features with a break or a sign weigh 0
+        out[: len(feature)] += weights[feature] * power  # features with a text's end weigh 0
     return out
 
 
@@ -145,11 +151,11 @@ def window_scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _profile(text: str) -> dict[int, float]:
-    """A landmark's subsequence weights."""
-    codes, _ = text_codes([text])
+def _profile(landmark: str) -> dict[int, float]:
+    """A landmark's subsequence weights; a space is an edge."""
+    codes = np.concatenate([[EDGE if c == " " else _CODES[ord(c)] if ord(c) < 0x180 else EDGE for c in landmark], np.zeros(SPAN, np.int64)]).astype(np.int32)
     out: dict[int, float] = {}
-    for ok, feature, power in _subsequences(np.concatenate([codes, np.zeros(SPAN, np.int32)])):
+    for ok, feature, power in _subsequences(codes):
         for f in feature[ok].tolist():
             out[f] = out.get(f, 0.0) + float(power)
     return out
@@ -157,23 +163,22 @@ def _profile(text: str) -> dict[int, float]:
 
 @dataclass
 class Machine:
-    """Weight of each four-letter subsequence, and the calibration of a text's top window."""
+    """Weight of each four-letter subsequence, and the calibration of a text's top windows."""
 
     features: np.ndarray
     values: np.ndarray
-    slope: float
+    slopes: np.ndarray
     shift: float
     constant: float | None = None
 
     def table(self) -> np.ndarray:
-        t = np.zeros(ALPHABET**LENGTH, dtype=np.float32)
-        t[self.features] = self.values
-        return t
+        return _table(self.features, self.values)
 
 
 def _top(codes: np.ndarray, borders: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's highest window score, 0 at least, and that window's start."""
-    best, at = np.zeros(len(borders) - 1), borders[:-1].copy()
+    """Scores (0 at least, falling) and starts of each text's TOP best windows that do not overlap."""
+    best = np.zeros((len(borders) - 1, TOP))
+    at = np.repeat(borders[:-1, None], TOP, axis=1)
     lo = 0
     while lo < len(best):  # whole texts of about a million characters at a time
         hi = max(lo + 1, int(np.searchsorted(borders, borders[lo] + (1 << 20), "right")) - 1)
@@ -181,31 +186,41 @@ def _top(codes: np.ndarray, borders: np.ndarray, weights: np.ndarray) -> tuple[n
         scores = window_scores(codes[base : borders[hi]], weights)
         for i in range(lo, hi):
             a, b = int(borders[i]) - base, int(borders[i + 1]) - base - WINDOW
-            if b > a:
+            for k in range(TOP if b > a else 0):
                 j = a + int(scores[a:b].argmax())
-                best[i], at[i] = max(float(scores[j]), 0.0), base + j
+                if scores[j] <= 0:
+                    break
+                best[i, k], at[i, k] = scores[j], base + j
+                scores[max(a, j - WINDOW) : j + WINDOW] = 0
         lo = hi
     return best, at
 
 
-def _words(text: str) -> list[str]:
-    return ["".join(c for c in w if c.isalpha()) for w in text.lower().split()]
+def _strings(text: str) -> set[str]:
+    """A text's words with their edges, and the beginnings of long words."""
+    out = set()
+    for w in text.lower().split():
+        w = "".join(c for c in w if c.isalpha())
+        if LENGTH <= len(w) <= WINDOW - 2:
+            out.add(f" {w} ")
+            out.update(f" {w[:k]}" for k in range(LENGTH, min(len(w), 8)))
+    return out
 
 
-def _pick_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
+def _pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Landmark strings, and how strongly each is tied to the toxic label (standard deviations over chance, 0 for common ones)."""
     seen, bad = Counter(), Counter()
     for text, y in zip(texts, toxic.tolist(), strict=True):
-        some = {w for w in _words(text) if LENGTH <= len(w) <= WINDOW}
+        some = _strings(text)
         seen.update(some)
         if y:
             bad.update(some)
     base = toxic.mean()
-    # signed root of the likelihood gain of knowing the word
-    tied = sorted((w for w in seen if bad[w] >= 2), key=lambda w: (-(bad[w] - base * seen[w]) / np.sqrt(base * (1 - base) * seen[w] + 1), w))
-    picked = tied[: LANDMARKS // 2]
-    common = sorted(seen, key=lambda w: (-(seen[w] - bad[w]), w))
-    have = set(picked)
-    return picked + [w for w in common if w not in have][: LANDMARKS - len(picked)]
+    tie = {w: (n - base * seen[w]) / np.sqrt(base * (1 - base) * seen[w] + 1) for w, n in bad.items() if n >= 2}
+    tied = sorted((w for w in tie if tie[w] > MIN_TIE), key=lambda w: (-tie[w], w))[: LANDMARKS * 3 // 4]
+    have = set(tied)
+    common = [w for w in sorted(seen, key=lambda w: (-(seen[w] - bad[w]), w)) if w not in have][: min(LANDMARKS - len(tied), max(32, len(tied)))]
+    return tied + common, np.array([tie[w] for w in tied] + [0.0] * len(common))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
@@ -224,22 +239,28 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, ste
     return w
 
 
-def _logistic(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's slope and shift."""
-    scale = float(np.abs(score).mean()) or 1.0
-    s = score / scale
-    a, b = 1.0, 0.0
+def _logistic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Platt's slopes and shift of the top windows' scores; slopes are kept from falling below 0."""
+    scale = float(np.abs(scores[:, 0]).mean()) or 1.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-        g = np.array([((p - target) * s).sum() + 1e-3 * a, (p - target).sum()])
-        v = p * (1 - p) + 1e-9
-        h = np.array([[(v * s * s).sum() + 1e-3, (v * s).sum()], [(v * s).sum(), v.sum()]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+    use = list(range(scores.shape[1]))
+    while True:
+        x = np.concatenate([scores[:, use] / scale, np.ones((len(y), 1))], axis=1)
+        penalty = np.diag([0.1] * len(use) + [1e-6])
+        w = np.zeros(len(use) + 1)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (p - target) + penalty @ w)
+            w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-8:
+                break
+        low = [k for k, v in zip(use, w, strict=False) if v < 0]
+        if not low or len(use) == 1:
             break
-    return a / scale, b
+        use = [k for k in use if k not in low] or [0]
+    slopes = np.zeros(scores.shape[1])
+    slopes[use] = np.maximum(w[:-1], 0) / scale
+    return slopes, float(w[-1])
 
 
 def _codes_in_parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,10 +277,39 @@ def _codes_in_parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], toxic: list[int]) -> Machine:
+    """A machine on all texts, calibrated on its scores and on those each third gets from a machine on the others."""
     y = np.array(toxic, dtype=np.float64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.float32)
     if not len(y) or y.min() == y.max():
-        return Machine(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0.0, float(y.mean()) if len(y) else 0.0)
-    landmarks = _pick_landmarks(texts, y)
+        return Machine(*none, np.zeros(TOP), 0.0, float(y.mean()) if len(y) else 0.0)
+    fold = np.zeros(len(y), dtype=np.int64)
+    for label in (0, 1):
+        rows = np.flatnonzero(y == label)
+        fold[rows] = np.arange(len(rows)) % FOLDS
+    unseen = np.zeros((len(y), TOP))
+    for k in range(FOLDS):
+        inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if not len(outside) or y[inside].min() == y[inside].max():
+            continue
+        table = _table(*_fit([texts[i] for i in inside], y[inside]))
+        unseen[outside], _ = _top(*_codes_in_parts([texts[i] for i in outside]), table)
+    features, values = _fit(texts, y)
+    # Scores of texts left out are a little low, as their machines saw less; those of texts learnt from are high.
+    seen, _ = _top(*_codes_in_parts(texts), _table(features, values))
+    return Machine(features, values, *_logistic(np.concatenate([unseen, seen]), np.concatenate([y, y])))
+
+
+def _table(features: np.ndarray, values: np.ndarray) -> np.ndarray:
+    t = np.zeros(ALPHABET**LENGTH, dtype=np.float32)
+    t[features] = values
+    return t
+
+
+def _fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subsequence numbers and weights of the machine trained on these texts."""
+    landmarks, tie = _pick_landmarks(texts, y)
+    if not landmarks:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
     profiles = [_profile(w) for w in landmarks]
     features = np.array(sorted({f for p in profiles for f in p}), dtype=np.int64)
     place = {int(f): i for i, f in enumerate(features)}
@@ -271,7 +321,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     kernel = rows @ rows.T
     value, vector = np.linalg.eigh(kernel)
     keep = value > 1e-6 * value.max()
-    nystrom = rows.T @ (vector[:, keep] / np.sqrt(value[keep]))  # features -> K**(-1/2) k(x, landmarks), up to a rotation
+    nystrom = (rows.T @ (vector[:, keep] / np.sqrt(value[keep]))).astype(np.float32)  # features -> K**(-1/2) k(x, landmarks), up to a rotation
 
     number = np.zeros(ALPHABET**LENGTH, dtype=np.int32)
     number[features] = np.arange(1, len(features) + 1)
@@ -284,7 +334,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
             part = starts[lo : lo + 256]
             at = np.minimum(part[:, None] + np.arange(WINDOW), len(codes) - 1)
             windows = codes[at]
-            count = np.zeros((len(part), len(features) + 1))
+            count = np.zeros((len(part), len(features) + 1), dtype=np.float32)
             row = np.arange(len(part))[:, None]
             n = WINDOW - SPAN + 1
             for a, b, c in _GAPS:
@@ -294,28 +344,24 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
         return out
 
     # Round 0 scores with the landmarks' own ties to the label.
-    lean = np.zeros(len(landmarks))
-    lean[: LANDMARKS // 2] = 1.0
     table = np.zeros(ALPHABET**LENGTH, dtype=np.float32)
-    table[features] = lean @ rows
+    table[features] = tie**3 @ rows
     rng = np.random.default_rng(7)
     clean = np.flatnonzero(y == 0)
     pool = np.array([], dtype=np.int64)
     for _ in range(ROUNDS):
         best, at = _top(codes, borders, table)
-        positive = at[y == 1]
+        positive = at[y == 1, 0]
         lengths = np.maximum(borders[clean + 1] - borders[clean] - WINDOW, 1)
-        # the worst window of every clean text so far, and one at random
-        pool = np.unique(np.concatenate([pool, at[clean], borders[clean] + (rng.random(len(clean)) * lengths).astype(np.int64)]))
+        # the worst windows of every clean text so far, and one at random
+        pool = np.unique(np.concatenate([pool, at[clean].ravel(), borders[clean] + (rng.random(len(clean)) * lengths).astype(np.int64)]))
         starts = np.concatenate([positive, pool])
         sign = np.concatenate([np.ones(len(positive)), -np.ones(len(pool))])
         cost = np.where(sign > 0, len(pool) / max(1, len(positive)), 1.0) * 0.5
         w = _svm(maps(starts), sign, cost)
         table[:] = 0
         table[features] = nystrom @ w[:-1]
-    best, _ = _top(codes, borders, table)
-    slope, shift = _logistic(best, y)
-    return Machine(features, table[features], slope, shift)
+    return features, table[features]
 
 
 def score_texts(machine: Machine, column: pa.Array) -> np.ndarray:
@@ -327,8 +373,8 @@ def score_texts(machine: Machine, column: pa.Array) -> np.ndarray:
         raw = buf.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         best, _ = _top(*text_codes(texts), weights)
-        out[lo:hi] = best
-    return 1 / (1 + np.exp(-np.clip(machine.slope * out + machine.shift, -50, 50)))
+        out[lo:hi] = best @ machine.slopes + machine.shift
+    return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, most_chars: int) -> tuple[list[str], list[int]]:

@@ -134,7 +134,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, work: Workspace, most: int = 60) -> DataFrame:
-    """(node, component) of every node on an edge (u, v); component is its least node.
+    """(node, component) of every node on an edge (u, v) but each component's least node, which names it.
 
     Edges are first contracted inside each partition, then large-star and
     small-star steps alternate (Kiveris et al., 2014) until nothing changes.
