@@ -1,0 +1,70 @@
+"""Writing the finished package: declared items, durations, navigation, added files."""
+
+from __future__ import annotations
+
+import posixpath
+import xml.etree.ElementTree as ET
+
+from .archives import joined_href, relative_href, rewrite_archive
+from .navigation import nav_rows, render_nav
+
+PREFIX = "media: http://www.idpf.org/epub/vocab/overlays/#"
+_OPF = "http://www.idpf.org/2007/opf"
+
+
+def _find(root: ET.Element, name: str) -> ET.Element:
+    return next(e for e in root.iter() if e.tag.rsplit("}", 1)[-1] == name)
+
+
+def finish_document(opf: str, path: str, rows: list[dict], ncx: dict[str, str]) -> tuple[str, dict[str, str]]:
+    """The package document with the rows of `package_rows` applied, and other members to write.
+
+    Items keep their attributes; overlay references, generated items and
+    durations of an earlier run are replaced.  A package without a navigation
+    page gets one from its NCX.
+    """
+    for prefix, uri in (("", _OPF), ("dc", "http://purl.org/dc/elements/1.1/"), ("opf", _OPF + "#")):
+        ET.register_namespace(prefix, uri)
+    root, folder = ET.fromstring(opf), posixpath.dirname(path) or "."
+    space = root.tag[: root.tag.index("}") + 1] if "}" in root.tag else ""
+    metadata, manifest = _find(root, "metadata"), _find(root, "manifest")
+    root.set("version", "3.0")
+    if PREFIX not in root.get("prefix", ""):
+        root.set("prefix", f"{root.get('prefix', '')} {PREFIX}".strip())
+    for meta in [m for m in metadata if m.get("property") == "media:duration"]:
+        metadata.remove(meta)
+
+    wanted = {r["id"]: r for r in rows if r["id"] is not None}
+    there = set()
+    for item in list(manifest):
+        item.attrib.pop("media-overlay", None)
+        row = wanted.get(item.get("id"))
+        generated = item.get("id", "").startswith(("audio_", "html_overlay.")) or item.get("id") in ("readaloud_style", "generated_nav")
+        if row is None or generated:
+            manifest.remove(item)
+            continue
+        there.add(item.get("id"))
+        if row.get("media_overlay"):
+            item.set("media-overlay", row["media_overlay"])
+
+    extra: dict[str, str] = {}
+    if not any("nav" in (i.get("properties") or "").split() for i in manifest):
+        source = next((i for i in manifest if i.get("media-type") == "application/x-dtbncx+xml"), None)
+        if source is not None and joined_href(folder, source.get("href")) in ncx:
+            target = joined_href(folder, "nav.xhtml")
+            title = next((e.text for e in metadata if e.tag.rsplit("}", 1)[-1] == "title" and e.text), None)
+            extra[target] = render_nav(nav_rows(ncx[joined_href(folder, source.get("href"))]), title=title or "Contents")
+            manifest.insert(0, ET.Element(space + "item", {"id": "generated_nav", "href": "nav.xhtml", "media-type": "application/xhtml+xml", "properties": "nav"}))
+    for row in rows:
+        if row["id"] is not None and row["id"] not in there and (row.get("href") and (row["id"].startswith(("audio_", "html_overlay.")) or row["id"] == "readaloud_style")):
+            target = joined_href(folder, row["href"]) if row["id"] == "readaloud_style" else row["href"]
+            ET.SubElement(manifest, space + "item", {"id": row["id"], "href": relative_href(path, target), "media-type": row["media_type"]})
+        if row.get("duration"):
+            meta = ET.SubElement(metadata, space + "meta", {"property": "media:duration"} | ({"refines": f"#{row['id']}"} if row["id"] else {}))
+            meta.text = row["duration"]
+    return '<?xml version="1.0" encoding="utf-8"?>\n' + ET.tostring(root, encoding="unicode"), extra
+
+
+def assemble(package: str, files: dict[str, bytes], documents: dict[str, str]) -> None:
+    """Add chunk, overlay and style files and replace documents in a package."""
+    rewrite_archive(package, files | {k: v.encode() for k, v in documents.items()})
