@@ -16,6 +16,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lectern.functions.frames import spread
+
 from .segmentation import segment_spans
 
 # Element groups.
@@ -293,7 +295,7 @@ def page_texts(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
         for f in frames:
             yield pd.DataFrame({key: f[key], "text": [visible_text(m or "") for m in f[markup]]})
 
-    return pages.select(key, markup).mapInPandas(run, f"{key} {kind}, text string")
+    return spread(pages.select(key, markup)).mapInPandas(run, f"{key} {kind}, text string")
 
 
 #: The names that a page's package refers to: by kind, or worked out from the page itself.
@@ -313,7 +315,7 @@ def clean_pages(pages: DataFrame, key: str, known: Known, markup: str = "html")
         for f in frames:
             yield pd.DataFrame({key: f[key], "html": [cleaned(m or "", *_names(known, m or "")) for m in f[markup]]})
 
-    return pages.select(key, markup).mapInPandas(run, f"{key} {kind}, html string")
+    return spread(pages.select(key, markup)).mapInPandas(run, f"{key} {kind}, html string")
 
 
 def mark_pages(pages: DataFrame, key: str, known: Known, markup: str = "html") -> DataFrame:
@@ -331,4 +333,4 @@ def mark_pages(pages: DataFrame, key: str, known: Known, markup: str = "html") -
             out = pd.DataFrame(rows, columns=[key, "seg_index", "seg_id", "text", "error"])
             yield out.astype({"seg_index": "Int32"})
 
-    return pages.select(key, markup).mapInPandas(run, f"{key} {kind}, seg_index int, seg_id string, text string, error string")
+    return spread(pages.select(key, markup)).mapInPandas(run, f"{key} {kind}, seg_index int, seg_id string, text string, error string")

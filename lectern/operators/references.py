@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lectern.functions.frames import spread
+
 from .markup import Node, parse
 
 # Properties without effect in horizontal text, and attributes that list ids.
@@ -133,4 +135,4 @@ def reference_names(sources: DataFrame, kind: str = "kind", content: str = "cont
                     found |= _BY_KIND[k](c)
             yield pd.DataFrame(sorted(found), columns=["kind", "name"])
 
-    return sources.select(kind, content).mapInPandas(run, "kind string, name string").distinct()
+    return spread(sources.select(kind, content)).mapInPandas(run, "kind string, name string").distinct()

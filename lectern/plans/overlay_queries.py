@@ -90,7 +90,7 @@ ORACLES = {
         WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = orderkey AND l_linenumber = line)
     """,
     "unused_names": r"""
-        WITH u AS (SELECT DISTINCT unnest(string_split(unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)), ' ')) AS name FROM pages),
+        WITH u AS (SELECT DISTINCT unnest(flatten(list_transform(regexp_extract_all(html, 'class="([^"]*)"', 1), lambda x: string_split(x, ' ')))) AS name FROM pages),
              k AS (SELECT DISTINCT unnest(regexp_extract_all(html, '(?:\.|^|[\s,>{};])([A-Za-z][A-Za-z0-9_-]*)\{', 1)) AS name FROM pages)
         SELECT 'class' AS kind, name FROM u WHERE name <> '' AND name NOT IN (SELECT name FROM k) AND EXISTS (SELECT 1 FROM k)
     """,

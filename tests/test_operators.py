@@ -161,3 +161,12 @@ def test_equal_runs_cover_common_tokens():
     for x, y, n in alignment.equal_runs(a, b):
         assert a[x : x + n] == b[y : y + n]
     assert sum(n for _, _, n in alignment.equal_runs(a, b)) <= sum((Counter(a) & Counter(b)).values())
+
+
+def test_few_small_files_are_spread(spark, sf_dir):
+    from lectern.functions.frames import spread
+
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10)).rdd.getNumPartitions() == spark.range(10).rdd.getNumPartitions()
+    assert sorted(r.page_id for r in spread(rows).collect()) == sorted(r.page_id for r in rows.collect())
