@@ -35,9 +35,9 @@ def overlaps(tokens: DataFrame, doc_key: str, probes: DataFrame, probe_key: str)
     return shared.groupBy(probe_key, doc_key, "window_index").agg(F.sum("m").alias("overlap"))
 
 
-def shortlist(scored: DataFrame, probe_key: str, limit: int = SHORTLIST) -> DataFrame:
-    """The `limit` windows of most overlap for each probe, earlier windows first on ties."""
-    order = Window.partitionBy(probe_key).orderBy(F.desc("overlap"), F.asc("global_index"))
+def shortlist(scored: DataFrame, probe_key: str, doc_key: str, limit: int = SHORTLIST) -> DataFrame:
+    """The `limit` windows of most overlap for each probe, earlier windows in reading order first on ties."""
+    order = Window.partitionBy(probe_key).orderBy(F.desc("overlap"), F.asc(doc_key), F.asc("window_index"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 

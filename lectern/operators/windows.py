@@ -32,8 +32,9 @@ def tokenised(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def window_spans(tokens: DataFrame, key: str) -> DataFrame:
     """(key, window_index, window_start, window_end) of tokenised texts; no token is copied."""
-    spans = tokens.select(key, "n_tokens", F.posexplode(window_starts(F.col("n_tokens"))).alias("window_index", "window_start"))
-    return spans.select(key, "window_index", "window_start", F.least(F.col("window_start") + WINDOW, F.col("n_tokens")).alias("window_end"))
+    # outer: a plain explode makes Spark filter on the array's size first, which would tokenise twice
+    spans = tokens.select(key, "n_tokens", F.posexplode_outer(window_starts(F.col("n_tokens"))).alias("window_index", "window_start"))
+    return spans.where("window_start IS NOT NULL").select(key, "window_index", "window_start", F.least(F.col("window_start") + WINDOW, F.col("n_tokens")).alias("window_end"))
 
 
 def global_index(rows: DataFrame, key: str, minor: str, name: str = "global_index") -> DataFrame:
@@ -57,7 +58,7 @@ def window_multiset(tokens: DataFrame, key: str, vocabulary: DataFrame | None =
     names its windows by arithmetic; a vocabulary (column token) drops positions
     before that.
     """
-    at = tokens.where(F.col("n_tokens") >= MIN_TOKENS).select(key, "n_tokens", F.posexplode("tokens").alias("pos", "token")).where(F.length("token") >= MIN_LONG)
+    at = tokens.select(key, "n_tokens", F.posexplode_outer("tokens").alias("pos", "token")).where((F.length("token") >= MIN_LONG) & (F.col("n_tokens") >= MIN_TOKENS))
     if vocabulary is not None:
         at = at.join(vocabulary.select("token"), "token", "left_semi")
     last = F.col("n_tokens") - WINDOW

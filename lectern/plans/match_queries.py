@@ -21,13 +21,14 @@ def probe_window_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overlaps(document_tokens(spark, sf_dir), "doc_id", _probes(spark, sf_dir), "item_id")
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = W.global_index(W.window_spans(document_tokens(spark, sf_dir), "doc_id"), "doc_id", "window_index")
-    return probe_window_overlap(spark, sf_dir).join(spans, ["doc_id", "window_index"])
+def _shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.shortlist(probe_window_overlap(spark, sf_dir), "item_id", "doc_id")
 
 
 def topk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.shortlist(_indexed(spark, sf_dir), "item_id").select("item_id", "rank", "doc_id", "window_index", "global_index", "overlap")
+    spans = W.global_index(W.window_spans(document_tokens(spark, sf_dir), "doc_id"), "doc_id", "window_index")
+    rows = _shortlist(spark, sf_dir).join(spans, ["doc_id", "window_index"])
+    return rows.select("item_id", "rank", "doc_id", "window_index", "global_index", "overlap")
 
 
 def accept_overlap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +39,7 @@ def accept_overlap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probe_window_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rescored shortlist; the matching-block ratio has no SQL form."""
     tokens = document_tokens(spark, sf_dir)
-    short = R.shortlist(_indexed(spark, sf_dir), "item_id").drop("window_start", "window_end")
-    scored = R.rescored(short, tokens, "doc_id", W.window_spans(tokens, "doc_id"), _probes(spark, sf_dir), "item_id")
+    scored = R.rescored(_shortlist(spark, sf_dir), tokens, "doc_id", W.window_spans(tokens, "doc_id"), _probes(spark, sf_dir), "item_id")
     return R.best_windows(scored, "item_id").select("item_id", "doc_id", "window_index", "rank", "overlap", F.round("ratio", 9).alias("ratio"), F.round("score", 9).alias("score"), "accepted")
 
 

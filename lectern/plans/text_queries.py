@@ -16,8 +16,8 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.displayed_tokens(F.col("text"))).alias("pos", "t"))
-    return rows.select("doc_id", "pos", F.col("t.display").alias("display"), F.col("t.token").alias("token"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(T.displayed_tokens(F.col("text"))).alias("pos", "t"))
+    return rows.where("pos IS NOT NULL").select("doc_id", "pos", F.col("t.display").alias("display"), F.col("t.token").alias("token"))
 
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
