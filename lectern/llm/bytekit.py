@@ -9,12 +9,33 @@ text, so the longest single text sets the floor.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(kernel: Kernel) -> Kernel:
+    """The kernel, with the memory that its task freed given back when it ends.
+
+    Workers live on between tasks; without this, what allocators keep of one
+    stage's temporaries adds to the next stage's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -105,15 +126,25 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tupl
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z folded to a-z."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _power_tables(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_VALUES[buf] * up[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word, A-Z folded to a-z; words rise.
+
+    Words are hashed in runs of about SLICE_BYTES bytes, so that one long text
+    needs no longer tables than many short ones.
+    """
+    out = np.zeros(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        part = buf[base : int(ends[hi - 1])]
+        a, b = starts[lo:hi] - base, ends[lo:hi] - base
+        up, down = _power_tables(len(part) + 1)
+        sums = np.empty(len(part) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
+        out[lo:hi] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

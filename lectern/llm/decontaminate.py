@@ -211,7 +211,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace, w
     """(doc_id, n_words, hits, items) of every row: hits packs (start, end) word intervals as 64-bit pairs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     schema = "doc_id long, row long, n_words long, hits binary, items array<string>"
-    found = [docs.mapInArrow(_scan(probes, names, "text"), schema) for probes, names in _passes(docs, benchmark, work, width, pass_windows)]
+    found = [docs.mapInArrow(bk.tidy(_scan(probes, names, "text")), schema) for probes, names in _passes(docs, benchmark, work, width, pass_windows)]
     if len(found) == 1:
         return found[0].select("doc_id", "n_words", "hits", "items")
     rows = found[0]
@@ -240,7 +240,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, work: Workspace,
         return run
 
     for probes, _ in _passes(docs, benchmark, work, width, pass_windows):
-        docs = docs.mapInArrow(clean(probes), docs.schema)
+        docs = docs.mapInArrow(bk.tidy(clean(probes)), docs.schema)
     return docs
 
 

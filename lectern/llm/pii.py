@@ -325,7 +325,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_hidden long"
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(bk.tidy(run), schema)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -339,4 +339,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             columns[at] = pa.array(out, batch.schema.types[at], mask=np.asarray(batch.column(at).is_null()))
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(bk.tidy(run), docs.schema)

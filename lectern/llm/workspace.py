@@ -11,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.frames import spread
+
+from .bytekit import tidy
+
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(frame: DataFrame) -> DataFrame:
-    """The frame; batches sent to Python hold BATCH_BYTES at most, or one row, or what the session already set lower.
+    """The frame, spread over the cores if it is a few small files; batches sent to Python hold BATCH_BYTES at most, or one row.
 
     By default a batch may hold 64 MB of rows, and a kernel's temporaries are a
     multiple of its batch.
@@ -25,7 +29,7 @@ def bounded_batches(frame: DataFrame) -> DataFrame:
     conf = frame.sparkSession.conf
     if int(frame.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
         conf.set(BATCH, str(BATCH_BYTES))
-    return frame
+    return spread(frame)
 
 
 class Workspace:
@@ -51,11 +55,11 @@ class Workspace:
         fs.deleteOnExit(folder)
         self._n = 0
 
-    def table(self, frame: DataFrame, name: str = "t") -> DataFrame:
-        """Write a frame and return it read back."""
+    def table(self, frame: DataFrame, name: str = "t", **options: str) -> DataFrame:
+        """Write a frame, with options for the writer, and return it read back."""
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        frame.write.parquet(path)
+        frame.write.options(**options).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
 
@@ -97,7 +101,7 @@ def bucket_counts(frame: DataFrame, counter: Callable[[pa.RecordBatch, int], np.
     schema = "piece int, counts binary"
     out = np.zeros(size, dtype=np.int64)
     step = 1 << min(bits, CHUNK_BITS)
-    for piece, counts in frame.mapInArrow(count, schema).groupBy("piece").applyInArrow(add, schema).collect():
+    for piece, counts in frame.mapInArrow(tidy(count), schema).groupBy("piece").applyInArrow(add, schema).collect():
         out[piece * step : (piece + 1) * step] = np.frombuffer(counts, dtype=np.int64)
     return out
 
