@@ -221,7 +221,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
         return np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
 
     rarity = bucket_counts(docs.select("text"), buckets, SKETCH_BITS).clip(0, 2**31 - 1).astype(np.int32)
-    described = work.table(docs.mapInArrow(_describe(width, percent, rarity), "doc_id long, n long, k1 long, k2 long, prefix binary, signature binary"), "sets")
+    described = work.table(docs.mapInArrow(bk.tidy(_describe(width, percent, rarity)), "doc_id long, n long, k1 long, k2 long, prefix binary, signature binary"), "sets")
 
     classes = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = work.table(described.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", "rep"), "members")
@@ -231,7 +231,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     entries = reps.mapInArrow(_entries, "token long, rep long, n long, pos int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = entries.repartitionByRange(parts, "token", "pos", "n", "rep").sortWithinPartitions("token", "pos", "n", "rep")
-    lists = work.table(lists.mapInArrow(_lists(percent), "token long, rep long, n long, pos int, leads array<long>"), "lists")
+    lists = work.table(lists.mapInArrow(bk.tidy(_lists(percent)), "token long, rep long, n long, pos int, leads array<long>"), "lists")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
@@ -239,7 +239,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
         likely = work.table(pairs.join(left, "a").join(right, "b").mapInArrow(_may_link(percent), "a long, b long").distinct(), "likely")
         ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
         wanted = bucket_counts(ids, lambda batch, size: _flag(batch.column("id"), size), FILTER_BITS) > 0
-        sets = work.table(docs.mapInArrow(_sets_of(width, wanted), "doc_id long, values binary").join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi").distinct(), "verify")
+        sets = work.table(docs.mapInArrow(bk.tidy(_sets_of(width, wanted)), "doc_id long, values binary").join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi").distinct(), "verify")
         x = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
         return work.table(likely.join(x, "a").join(y, "b").mapInArrow(_links(percent), "a long, b long"), "links")
@@ -279,14 +279,30 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
 
 
 def keep_one_of_each(docs: DataFrame, work: Workspace, width: int = 3, percent: int = 90) -> DataFrame:
-    """The rows, unchanged, of each component's least doc_id; of rows that share it, one.  Rows without doc_id stay."""
-    found = jaccard_components(docs, work, width, percent)
-    chosen = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    chosen = work.table(chosen, "chosen")
+    """The rows, unchanged, of each component's least doc_id; of rows that share it, one.  Rows without doc_id stay.
+
+    Most rows are neither linked to a lesser id nor repeated.  A bitmap of fixed
+    size over the ids that are tells them apart where they lie, so only rows that
+    it marks are shuffled to be judged.
+    """
+    found = work.table(jaccard_components(docs, work, width, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "found")
+    judged = found.where("doc_id <> component_id OR copies > 1")
+    marked = bucket_counts(judged.select("doc_id"), lambda batch, size: _flag(batch.column("doc_id"), size), FILTER_BITS) > 0
+
+    def side(keep_marked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").cast(pa.int64())
+                hit = marked[_flag(ids, len(marked))] & np.asarray(ids.is_valid())
+                yield batch.filter(pa.array(hit == keep_marked))
+
+        return run
+
+    plain, open_ = (docs.mapInArrow(bk.tidy(side(x)), docs.schema) for x in (False, True))
     mark = "_jaccard_keep"
-    kept = docs.join(chosen.select(F.col("doc_id").alias(mark)), F.col("doc_id") == F.col(mark), "left_semi")
-    if chosen.where("copies > 1").limit(1).count():
-        # rows of one doc_id now lie together; the least text, source and so on of them stays
-        order = [F.xxhash64(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in docs.columns]
-        kept = kept.withColumn(mark, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(mark) == 1).drop(mark)
-    return kept.union(docs.where("doc_id IS NULL"))
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark))
+    kept = open_.join(chosen, F.col("doc_id") == F.col(mark), "left_semi")
+    # Rows of one doc_id now lie together; the one whose columns hash least stays.
+    order = [F.xxhash64(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in docs.columns]
+    kept = kept.withColumn(mark, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(mark) == 1).drop(mark)
+    return plain.union(kept)
