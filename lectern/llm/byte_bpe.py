@@ -1,9 +1,9 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of token ids.  Every adjacent pair that merges sits
-in the bucket of its merge rank; three levels of 64-way bitmaps over the ranks
-give the least rank with a waiting pair by find-first-set, in constant time
-whatever the pre-token's length.  A bucket yields its leftmost position first.
+in the bucket of its merge rank; a bitmap over the ranks, under a bitmap over
+its leaves, gives the least rank with a waiting pair by find-first-set, in
+constant time whatever the pre-token's length.  A bucket yields its leftmost position first.
 Entries are never removed early: one whose pair has since changed is stale and
 skipped when it comes up.  A pre-token of n bytes takes O(n log n) steps, so
 one of a million bytes is no special case.
@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
-from itertools import islice
+from heapq import heappop, heappush
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytekit import tidy
 from .workspace import bounded_batches
 
 #: Pre-tokens kept per generation of a worker's memo; two generations are held.
 MEMO_ENTRIES = 250_000
 _LONG = 1 << 20
+#: Ranks of one leaf bitmap: 2**LEAF.
+LEAF = 8
+LEAF_MASK = (1 << LEAF) - 1
+_BIT = [1 << k for k in range(1 << 12)]
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -49,48 +55,8 @@ def decode_ids(table: list[bytes], packed: bytes) -> bytes:
     return b"".join(map(table.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-class RankQueue:
-    """Buckets of positions by rank, least rank first, leftmost position first."""
-
-    def __init__(self, ranks: int):
-        self.leaf = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.bucket: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        held = self.bucket.get(rank)
-        if held is not None:
-            heappush(held, position)
-            return
-        self.bucket[rank] = [position]
-        a = rank >> 6
-        self.leaf[a] |= 1 << (rank & 63)
-        self.mid[a >> 6] |= 1 << (a & 63)
-        self.top |= 1 << (a >> 6)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        b = (top & -top).bit_length() - 1
-        m = self.mid[b]
-        a = (b << 6) + (m & -m).bit_length() - 1
-        w = self.leaf[a]
-        low = w & -w
-        rank = (a << 6) + low.bit_length() - 1
-        held = self.bucket[rank]
-        position = heappop(held)
-        if not held:
-            del self.bucket[rank]
-            w ^= low
-            self.leaf[a] = w
-            if not w:
-                m ^= m & -m
-                self.mid[b] = m
-                if not m:
-                    self.top = top ^ (top & -top)
-        return rank, position
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Tokenizer:
@@ -109,49 +75,81 @@ class Tokenizer:
                 if left is not None and right is not None:
                     self.pairs[left * self.size + right] = rank
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(self.size)
+        self.leaf = [0] * ((self.size >> LEAF) + 1)
         self.memo = _Memo(self, memo)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.
+
+        The queue's steps stand in line, as a call each would cost more than they
+        do.  `leaf[a]` has a bit for each waiting rank from a << LEAF on, `summary`
+        a bit for each leaf that has one; both are empty between pre-tokens.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         ids = [self.byte_id[b] for b in piece]
-        n, size, find, queue = len(ids), self.size, self.pairs.get, self.queue
+        n, size, find, leaf, bit = len(ids), self.size, self.pairs.get, self.leaf, _BIT
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [-1] * n  # rank at which a position's pair merges now
-        for i in range(n - 1):
-            rank = find(ids[i] * size + ids[i + 1])
-            if rank is not None:
-                waiting[i] = rank
-                queue.push(rank, i)
-        while (got := queue.pop()) is not None:
-            rank, i = got
+        # rank at which a position's pair merges now; None if it does not
+        waiting = [find(a * size + b) for a, b in pairwise(ids)]
+        waiting.append(None)
+        summary, bucket = 0, {}
+        for i, rank in enumerate(waiting):
+            if rank is None:
+                continue
+            if rank in bucket:
+                bucket[rank].append(i)  # positions rise, so a list is a heap
+            else:
+                bucket[rank] = [i]
+                a = rank >> LEAF
+                summary |= bit[a]
+                leaf[a] |= bit[rank & LEAF_MASK]
+        while summary:
+            # find first set: the least rank that waits, then its leftmost position
+            a = (summary & -summary).bit_length() - 1
+            w = leaf[a]
+            rank = (a << LEAF) + (w & -w).bit_length() - 1
+            held = bucket[rank]
+            if len(held) > 1:
+                i = heappop(held)
+            else:
+                i = held[0]
+                del bucket[rank]
+                w &= w - 1
+                leaf[a] = w
+                if not w:
+                    summary &= summary - 1
             if waiting[i] != rank:
                 continue  # stale
             ids[i] = rank
             gone = after[i]
-            waiting[gone] = -1
+            waiting[gone] = None
             j = after[i] = after[gone]
+            h = before[i]
             if j < n:
                 before[j] = i
-                new = find(rank * size + ids[j])
-                if new is None:
-                    waiting[i] = -1
-                else:
-                    waiting[i] = new
-                    queue.push(new, i)
+                new = waiting[i] = find(rank * size + ids[j])
+                if new is not None:
+                    if new in bucket:
+                        heappush(bucket[new], i)
+                    else:
+                        bucket[new] = [i]
+                        a = new >> LEAF
+                        summary |= bit[a]
+                        leaf[a] |= bit[new & LEAF_MASK]
             else:
-                waiting[i] = -1
-            h = before[i]
+                waiting[i] = None
             if h >= 0:
-                new = find(ids[h] * size + rank)
-                if new is None:
-                    waiting[h] = -1
-                else:
-                    waiting[h] = new
-                    queue.push(new, h)
+                new = waiting[h] = find(ids[h] * size + rank)
+                if new is not None:
+                    if new in bucket:
+                        heappush(bucket[new], h)
+                    else:
+                        bucket[new] = [h]
+                        a = new >> LEAF
+                        summary |= bit[a]
+                        leaf[a] |= bit[new & LEAF_MASK]
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -180,7 +178,7 @@ class _Memo(dict):
     def __missing__(self, token: str) -> bytes:
         value = self.old.get(token)
         if value is None:
-            value = np.array(self.owner.merge(token.encode()), dtype="<u4").tobytes()
+            value = _pack(self.owner.merge(token.encode()))
         if len(token) <= 64:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -211,7 +209,7 @@ def encode_column(docs: DataFrame, vocabulary: bytes, pattern: str, text: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return bounded_batches(docs).mapInArrow(run, f"{names}, ids binary")
+    return bounded_batches(docs).mapInArrow(tidy(run), f"{names}, ids binary")
 
 
 def decode_column(rows: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids") -> DataFrame:
@@ -224,7 +222,7 @@ def decode_column(rows: DataFrame, vocabulary: bytes, pattern: str, ids: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return bounded_batches(rows).mapInArrow(run, f"{names}, decoded binary")
+    return bounded_batches(rows).mapInArrow(tidy(run), f"{names}, decoded binary")
 
 
 def round_trip_digest(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
