@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def _pack(content: bytes, pattern: str, end: int, length: int):
             nonlocal local
             number = np.arange(local, local + len(rows))
             local += len(rows)
-            data = [zlib.compress(r.tobytes(), 1) for r in rows]
+            data = [r.tobytes() for r in rows]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array(number), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["part", "local", "n_ids", "ids"])
 
         kind = np.uint16 if end < 65536 else np.uint32
@@ -112,10 +113,12 @@ def _pack(content: bytes, pattern: str, end: int, length: int):
 
 def _assign(permutation: Feistel, per_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(3)
         for batch in batches:
             number = np.asarray(batch.column("first")) + np.asarray(batch.column("local"))
             slot = permutation.slots(number)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(number), batch.column("n_ids"), batch.column("ids")], ["shard", "slot", "number", "n_ids", "ids"])
+            ids = pa.array([small.compress(x) for x in batch.column("ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(number), batch.column("n_ids"), ids], ["shard", "slot", "number", "n_ids", "ids"])
 
     return run
 
@@ -128,6 +131,7 @@ def _write(folder: str, per_shard: int, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
+        plain = zstandard.ZstdDecompressor()
         file, open_shard, path = None, -1, ""
 
         def close() -> None:
@@ -144,7 +148,7 @@ def _write(folder: str, per_shard: int, stride: int):
                     open_shard = int(shards[i])
                     path = f"{base}/{shard_name(open_shard)}"
                     file = fs.open_output_stream(f"{path}.{attempt}")
-                data = zlib.decompress(packed)
+                data = plain.decompress(packed)
                 file.write(data)
                 crc.append(zlib.crc32(data))
             yield pa.RecordBatch.from_arrays(
@@ -162,7 +166,7 @@ def materialise(docs: DataFrame, work: Workspace, folder: str, vocabulary: bytes
     Columns: slot, number (of the sequence before the permutation), shard,
     byte_offset, n_ids and crc32 of the slot's bytes.
     """
-    packed = work.table(bounded_batches(docs).select("text").mapInArrow(_pack(vocabulary, pattern, end, length), "part int, local long, n_ids int, ids binary"), "packed")
+    packed = work.table(bounded_batches(docs).select("text").mapInArrow(_pack(vocabulary, pattern, end, length), "part int, local long, n_ids int, ids binary"), "packed", compression="zstd")
     counts = packed.groupBy("part").count().orderBy("part").collect()  # one row a scan task
     first, n = [], 0
     for r in counts:
