@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .toxicity import labelled_sample
+from .toxicity import labelled_sample, train_in_task
 from .workspace import bounded_batches
 
 BUCKETS = 1 << 14
@@ -206,8 +206,8 @@ def _stated(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
-    texts, good = labelled_sample(docs, labels, "quality", allowed, SAMPLE, SAMPLE_CHARS)
-    return train(pa.array(texts, pa.string()), np.full(len(texts), np.nan), good)
+    sample = labelled_sample(bounded_batches(docs), labels, "quality", allowed, SAMPLE, SAMPLE_CHARS)
+    return train_in_task(sample, lambda texts, good: train(pa.array(texts, pa.string()), np.full(len(texts), np.nan), good))
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -217,4 +217,4 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_rows(machine, batch.column("text"), _stated(batch)))], ["doc_id", "score"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(bk.tidy(run), "doc_id long, score double")

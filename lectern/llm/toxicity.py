@@ -26,8 +26,10 @@ labels and repeated label rows are left out and taken once.
 
 from __future__ import annotations
 
+import pickle
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,10 +46,14 @@ SPAN = 7
 WINDOW = 24
 LANDMARKS = 384
 MIN_TIE = 2.5
+LEAST = 3
+_HASH_BITS = 20
 TOP = 3
 FOLDS = 3
+#: Clean texts of the sample that common landmarks are taken from.
+COMMON_TEXTS = 400
 SAMPLE = 3000
-SAMPLE_CHARS = 8_000_000
+SAMPLE_CHARS = 6_000_000
 ROUNDS = 2
 
 #: Letters by code from 2 on; 0 is a text's end and 1 the edge of a word.
@@ -60,7 +66,7 @@ _STAND_INS = (("0", "o"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"), ("7",
 
 def _code_table() -> np.ndarray:
     """Codes of the characters below U+0180."""
-    t = np.full(0x180, EDGE, dtype=np.int32)
+    t = np.full(0x180, EDGE, dtype=np.uint8)
     for i, c in enumerate(_LETTERS):
         t[ord(c)] = 2 + i
         if len(c.upper()) == 1:
@@ -114,29 +120,27 @@ def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], kept[borders]
 
 
-def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.float32]]:
-    """(start positions mask, feature numbers, weight) for each gap pattern.
+def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.float32]]:
+    """(feature number at each start, weight) for each gap pattern.
 
-    Subsequences take letters and edges, never a text's end.
+    Subsequences take letters and edges; one that runs over a text's end holds a
+    code of 0, and no feature that is used does.
     """
     n = len(codes) - SPAN + 1
     if n <= 0:
         return
-    letter = codes > 0
-    pair = {}
-    for d in range(1, SPAN):
-        pair[d] = codes[: len(codes) - d] * ALPHABET + codes[d:]
-    both = {d: letter[: len(codes) - d] & letter[d:] for d in range(1, SPAN)}
+    codes = codes.astype(np.int32)
+    pair = {d: codes[: len(codes) - d] * ALPHABET + codes[d:] for d in range(1, SPAN)}
     for a, b, c in _GAPS:
-        ok = both[a][:n] & both[c - b][b : n + b]
-        yield ok, pair[a][:n] * (ALPHABET * ALPHABET) + pair[c - b][b : n + b], _POWER[c + 1]
+        yield pair[a][:n] * (ALPHABET * ALPHABET) + pair[c - b][b : n + b], _POWER[c + 1]
 
 
 def response(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """At each position, the weights of the subsequences that start there."""
+    """At each position, the weights of the subsequences that start there; long texts go in parts."""
     out = np.zeros(len(codes), dtype=np.float32)
-    for _, feature, power in _subsequences(codes):
-        out[: len(feature)] += weights[feature] * power  # features with a text's end weigh 0
+    for lo in range(0, len(codes), bk.SLICE_BYTES):
+        for feature, power in _subsequences(codes[lo : lo + bk.SLICE_BYTES + SPAN - 1]):
+            out[lo : lo + len(feature)] += weights[feature] * power
     return out
 
 
@@ -153,11 +157,12 @@ def window_scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _profile(landmark: str) -> dict[int, float]:
     """A landmark's subsequence weights; a space is an edge."""
-    codes = np.concatenate([[EDGE if c == " " else _CODES[ord(c)] if ord(c) < 0x180 else EDGE for c in landmark], np.zeros(SPAN, np.int64)]).astype(np.int32)
+    codes = np.concatenate([[EDGE if c == " " else _CODES[ord(c)] if ord(c) < 0x180 else EDGE for c in landmark], np.zeros(SPAN, np.int64)]).astype(np.uint8)
     out: dict[int, float] = {}
-    for ok, feature, power in _subsequences(codes):
-        for f in feature[ok].tolist():
-            out[f] = out.get(f, 0.0) + float(power)
+    for feature, power in _subsequences(codes):
+        for f in feature.tolist():
+            if all(f // ALPHABET**k % ALPHABET for k in range(LENGTH)):
+                out[f] = out.get(f, 0.0) + float(power)
     return out
 
 
@@ -209,17 +214,24 @@ def _strings(text: str) -> set[str]:
 
 def _pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Landmark strings, and how strongly each is tied to the toxic label (standard deviations over chance, 0 for common ones)."""
-    seen, bad = Counter(), Counter()
-    for text, y in zip(texts, toxic.tolist(), strict=True):
-        some = _strings(text)
-        seen.update(some)
+    # Most strings are rare; hashed counts leave them out before any is held.
+    hashed = array("I", bytes(4 << _HASH_BITS))
+    mask = (1 << _HASH_BITS) - 1
+    for text, y in zip(texts, toxic, strict=True):
         if y:
-            bad.update(some)
+            for w in _strings(text):
+                hashed[hash(w) & mask] += 1
+    bad = Counter(w for text, y in zip(texts, toxic, strict=True) if y for w in _strings(text) if hashed[hash(w) & mask] >= LEAST)
+    bad = {w: n for w, n in bad.items() if n >= LEAST}
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update(w for w in _strings(text) if w in bad)
     base = toxic.mean()
-    tie = {w: (n - base * seen[w]) / np.sqrt(base * (1 - base) * seen[w] + 1) for w, n in bad.items() if n >= 2}
+    tie = {w: (n - base * seen[w]) / np.sqrt(base * (1 - base) * seen[w] + 1) for w, n in bad.items()}
     tied = sorted((w for w in tie if tie[w] > MIN_TIE), key=lambda w: (-tie[w], w))[: LANDMARKS * 3 // 4]
     have = set(tied)
-    common = [w for w in sorted(seen, key=lambda w: (-(seen[w] - bad[w]), w)) if w not in have][: min(LANDMARKS - len(tied), max(32, len(tied)))]
+    clean = Counter(w for text in [t for t, y in zip(texts, toxic, strict=True) if not y][:COMMON_TEXTS] for w in _strings(text))
+    common = [w for w in sorted(clean, key=lambda w: (-clean[w], w)) if w not in have][: min(LANDMARKS - len(tied), max(32, len(tied)))]
     return tied + common, np.array([tie[w] for w in tied] + [0.0] * len(common))
 
 
@@ -333,7 +345,7 @@ def _fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for lo in range(0, len(starts), 256):
             part = starts[lo : lo + 256]
             at = np.minimum(part[:, None] + np.arange(WINDOW), len(codes) - 1)
-            windows = codes[at]
+            windows = codes[at].astype(np.int32)
             count = np.zeros((len(part), len(features) + 1), dtype=np.float32)
             row = np.arange(len(part))[:, None]
             n = WINDOW - SPAN + 1
@@ -377,8 +389,8 @@ def score_texts(machine: Machine, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, most_chars: int) -> tuple[list[str], list[int]]:
-    """At most `most` allowed texts of each class, picked by a hash of the id, and their labels.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, most_chars: int) -> DataFrame:
+    """(doc_id, y, text) of at most `most` allowed texts of each class, picked by a hash of the id.
 
     The labelled ids are picked first, so only the picked texts move; each class
     keeps at most half of `most_chars` characters, whole texts only.
@@ -389,17 +401,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     for y in (0, 1):
         some = ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
     # Whole texts in hash order while they fit; lengths decide before any text moves.
-    sizes = rows.select("doc_id", "y", F.length("text").alias("n")).groupBy("doc_id", "y").agg(F.max("n").alias("n"), F.count("*").alias("copies")).orderBy(order, "doc_id").collect()
+    sizes = rows.select("doc_id", "y", F.length("text").alias("n")).groupBy("doc_id", "y").agg(F.sum("n").alias("n")).orderBy(order, "doc_id").collect()
     room, keep = {0: most_chars // 2, 1: most_chars // 2}, []
     for r in sizes:
-        if (r.n or 0) * r.copies <= room[r.y]:
-            room[r.y] -= r.n * r.copies
+        if r.n <= room[r.y]:
+            room[r.y] -= r.n
             keep.append(r.doc_id)
-    got = rows.where(F.col("doc_id").isin(keep)).select("doc_id", "y", "text").collect() if keep else []
-    got.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in got], [r.y for r in got]
+    return rows.where(F.col("doc_id").isin(keep)) if keep else rows.where("false")
+
+
+def train_in_task(sample: DataFrame, trainer: Callable[[list[str], list[int]], object]) -> object:
+    """The machine that `trainer` makes of a bounded sample, in one task; the driver gets only the machine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t, y) for batch in batches for i, y, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True))
+        machine = trainer([t for _, t, _ in rows], [y for *_, y in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
+
+    got = sample.coalesce(1).mapInArrow(bk.tidy(run), "machine binary").collect()
+    return pickle.loads(got[0].machine) if got else trainer([], [])
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -407,7 +429,7 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
-    return train(*labelled_sample(docs, labels, "toxic", allowed, SAMPLE, SAMPLE_CHARS))
+    return train_in_task(labelled_sample(bounded_batches(docs), labels, "toxic", allowed, SAMPLE, SAMPLE_CHARS), train)
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -417,7 +439,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(machine, batch.column("text")))], ["doc_id", "score"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bk.tidy(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFrame:
@@ -427,4 +449,4 @@ def keep_clean(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(score_texts(machine, batch.column("text")) < limit))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(bk.tidy(run), docs.schema)

@@ -204,18 +204,11 @@ def test_bpe_long_text_in_parts():
     assert t.decode(t.encode(text)).decode() == text
 
 
-def test_rank_queue_order():
-    rng = random.Random(6)
-    q, held = byte_bpe.RankQueue(50_257), []
-    for _ in range(3000):
-        if rng.random() < 0.6:
-            item = (rng.choice([3, 64, 4095, 4096, 50_256, rng.randrange(50_257)]), rng.randrange(1000))
-            held.append(item)
-            q.push(*item)
-        elif held:
-            held.sort()
-            assert q.pop() == held.pop(0)
-    assert [q.pop() for _ in range(len(held))] == sorted(held) and q.pop() is None
+def test_queue_is_empty_between_pre_tokens():
+    t = byte_bpe.Tokenizer(*vocabulary())
+    for piece in (b"xqzxqz", b"\xff\xfe", b"abababab" * 400, b" zzqy"):
+        t.merge(piece)
+        assert not any(t.leaf)
 
 
 def test_chat_events(spark):
@@ -404,11 +397,12 @@ def test_quality_odd_rows(spark):
 def test_labelled_sample(spark):
     docs = spark.createDataFrame([(i, "x" * i) for i in range(50)] + [(3, "twin"), (60, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(4, 0), (60, 1), (7, None)], "doc_id long, toxic int")
-    texts, y = toxicity.labelled_sample(docs, labels, "toxic", F.col("doc_id") != 5, 10, 10_000)
-    assert 20 <= len(y) <= 21 and sum(y) >= 10 and "x" * 5 not in texts
-    texts, _ = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 100, 100)
-    assert sum(map(len, texts)) <= 100
-    assert toxicity.labelled_sample(docs.limit(0), labels, "toxic", F.lit(True), 10, 10) == ([], [])
+    got = toxicity.labelled_sample(docs, labels, "toxic", F.col("doc_id") != 5, 10, 10_000).collect()
+    assert 20 <= len(got) <= 21 and sum(r.y for r in got) >= 10 and 5 not in {r.doc_id for r in got}
+    got = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 100, 100).collect()
+    assert 0 < sum(len(r.text) for r in got) <= 100
+    none = toxicity.labelled_sample(docs.limit(0), labels, "toxic", F.lit(True), 10, 10)
+    assert none.count() == 0 and toxicity.train_in_task(none, toxicity.train).constant == 0.0
 
 
 def test_vocabulary_table():
