@@ -38,6 +38,7 @@ from .workspace import Workspace, bounded_batches
 LENGTH = 1024
 PER_SHARD = 8192
 ROUNDS = 6
+DICTIONARY_BYTES, DICTIONARY_TEXTS, DICTIONARY_CHARS = 1 << 16, 400, 8_000
 
 
 class Feistel:
@@ -78,9 +79,31 @@ def _encoder(content: bytes, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _pack(content: bytes, pattern: str, end: int, length: int):
+def _kind(end: int) -> type:
+    """Ids are stored in two bytes if the end mark, the highest, fits."""
+    return np.uint16 if end < 65536 else np.uint32
+
+
+def _dictionary(docs: DataFrame, content: bytes, pattern: str, end: int, length: int) -> bytes:
+    """A compression dictionary from the beginnings of some texts; it changes sizes in flight, never a result."""
+    some = docs.where("length(text) > 0").select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).limit(DICTIONARY_TEXTS).collect()
+    encode = _encoder(content, pattern).encode_ordinary
+    ids = np.array([i for r in some for i in [*encode(r.text), end]], dtype=_kind(end))
+    rows = [ids[k : k + length].tobytes() for k in range(0, len(ids), length)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
+    except zstandard.ZstdError:  # too little text for one
+        return b""
+
+
+def _compression(dictionary: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+
+
+def _pack(content: bytes, pattern: str, end: int, length: int, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(content, pattern).encode_ordinary
+        small = zstandard.ZstdCompressor(level=9, **_compression(dictionary))
         part, local = TaskContext.get().partitionId(), 0
         held = np.zeros(0, dtype=np.uint32)
 
@@ -88,10 +111,10 @@ def _pack(content: bytes, pattern: str, end: int, length: int):
             nonlocal local
             number = np.arange(local, local + len(rows))
             local += len(rows)
-            data = [r.tobytes() for r in rows]
+            data = [small.compress(r.tobytes()) for r in rows]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array(number), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["part", "local", "n_ids", "ids"])
 
-        kind = np.uint16 if end < 65536 else np.uint32
+        kind = _kind(end)
         for batch in batches:
             new = [held]
             for value in batch.column("text"):
@@ -113,12 +136,10 @@ def _pack(content: bytes, pattern: str, end: int, length: int):
 
 def _assign(permutation: Feistel, per_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = zstandard.ZstdCompressor(3)
         for batch in batches:
             number = np.asarray(batch.column("first")) + np.asarray(batch.column("local"))
             slot = permutation.slots(number)
-            ids = pa.array([small.compress(x) for x in batch.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(number), batch.column("n_ids"), ids], ["shard", "slot", "number", "n_ids", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(number), batch.column("n_ids"), batch.column("ids")], ["shard", "slot", "number", "n_ids", "ids"])
 
     return run
 
@@ -127,11 +148,11 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
-def _write(folder: str, per_shard: int, stride: int):
+def _write(folder: str, per_shard: int, stride: int, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
-        plain = zstandard.ZstdDecompressor()
+        plain = zstandard.ZstdDecompressor(**_compression(dictionary))
         file, open_shard, path = None, -1, ""
 
         def close() -> None:
@@ -166,13 +187,16 @@ def materialise(docs: DataFrame, work: Workspace, folder: str, vocabulary: bytes
     Columns: slot, number (of the sequence before the permutation), shard,
     byte_offset, n_ids and crc32 of the slot's bytes.
     """
-    packed = work.table(bounded_batches(docs).select("text").mapInArrow(_pack(vocabulary, pattern, end, length), "part int, local long, n_ids int, ids binary"), "packed", compression="zstd")
+    docs = bounded_batches(docs.select("text"))
+    dictionary = _dictionary(docs, vocabulary, pattern, end, length)
+    # Ids are compressed once, and stay so in the packed table and in the shuffle.
+    packed = work.table(docs.mapInArrow(_pack(vocabulary, pattern, end, length, dictionary), "part int, local long, n_ids int, ids binary"), "packed")
     counts = packed.groupBy("part").count().orderBy("part").collect()  # one row a scan task
     first, n = [], 0
     for r in counts:
         first.append((r["part"], n))
         n += r["count"]
-    stride = length * (2 if end < 65536 else 4)
+    stride = length * np.dtype(_kind(end)).itemsize
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base)
     shards = -(-n // per_shard)
@@ -181,7 +205,7 @@ def materialise(docs: DataFrame, work: Workspace, folder: str, vocabulary: bytes
     starts = docs.sparkSession.createDataFrame(first, "part int, first long")
     placed = packed.join(F.broadcast(starts), "part").mapInArrow(_assign(Feistel(n, key), per_shard), "shard long, slot long, number long, n_ids int, ids binary")
     ordered = placed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("slot")
-    return work.table(ordered.mapInArrow(_write(folder, per_shard, stride), "slot long, number long, shard long, byte_offset long, n_ids int, crc32 long"), "index")
+    return work.table(ordered.mapInArrow(_write(folder, per_shard, stride, dictionary), "slot long, number long, shard long, byte_offset long, n_ids int, crc32 long"), "index")
 
 
 def read_slots(folder: str, start: int, count: int) -> Iterator[np.ndarray]:
