@@ -37,6 +37,7 @@ from .workspace import Workspace, bounded_batches, bucket_counts, components
 SKETCH_BITS = 20
 FILTER_BITS = 22
 SIGNATURE = 64
+SALTS = 16
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -224,7 +225,11 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent
     described = work.table(docs.mapInArrow(bk.tidy(_describe(width, percent, rarity)), "doc_id long, n long, k1 long, k2 long, prefix binary, signature binary"), "sets")
 
     classes = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = work.table(described.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", "rep"), "members")
+    # A class may hold a third of all rows, so its rows meet its name in parts, by a salt from their ids.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    rows = described.select("doc_id", "n", "k1", "k2", salt)
+    parts = rows.where("n > 0 AND doc_id IS NOT NULL").select("k1", "k2", "salt").distinct().join(classes, ["k1", "k2"])
+    members = work.table(rows.join(parts, ["k1", "k2", "salt"], "left").select("doc_id", "n", "rep"), "members")
     indexed = described.where("length(prefix) > 0").withColumnRenamed("doc_id", "rep").join(classes, ["rep", "k1", "k2"]).select("rep", "n", "prefix", "signature")
     reps = work.table(indexed, "reps")
 
