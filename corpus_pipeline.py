@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 0.9 of its three-word shingles, the document with the least id."""
-    return jaccard_join.keep_one_of_each(docs, Workspace(spark, "stage-copies"))
+    """Of each group linked by 0.8 of its five-word shingles, the document with the least id."""
+    return jaccard_join.keep_one_of_each(docs, Workspace(spark, "stage-copies"), width=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
