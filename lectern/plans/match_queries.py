@@ -50,13 +50,10 @@ def page_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_match_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as transcripts, matched forward through the documents of each source that shares enough with them."""
-    docs = table(spark, sf_dir, "documents")
-    pages = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("html_order"), "text")
-    near = probe_window_overlap(spark, sf_dir).where(F.col("overlap") >= R.MIN_OVERLAP).join(docs.select("doc_id", "source"), "doc_id")
-    near = near.select(F.col("source").alias("book"), F.col("item_id").alias("chunk")).distinct()
+    """Benchmark texts as transcripts, matched forward through the documents of each source; a rejected one keeps a row with its reason."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("html_order"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk"), "text")
-    return matching.match_books(pages, near.join(items, "chunk"))
+    return matching.match_books(pages, pages.select("book").distinct().crossJoin(F.broadcast(items)))
 
 
 def sequence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
