@@ -1,10 +1,10 @@
 """Ordered matching: transcripts of a book are placed forward through its pages.
 
-All that does not depend on earlier matches (windows, overlaps, shortlists,
-ratios) is computed for all transcripts at once; the fold over a book's
-transcripts then adds the order bonus, applies the acceptance rules and walks
-on into following pages.  A book is one group, its transcripts go in the order
-of their numbers.
+The fold over a book's transcripts scores the windows that share most with each,
+adds the order bonus, applies the acceptance rules and walks on into following
+pages.  A book is one group, its transcripts go in the order of their numbers;
+its windows, overlaps and ratios are computed in the same task, so a book has to
+fit the memory of one.
 """
 
 from __future__ import annotations
