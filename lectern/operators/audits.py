@@ -95,10 +95,12 @@ def transcript_states(audio: DataFrame, transcripts: DataFrame, key: str, readab
     return rows.select(key, state.alias("state"))
 
 
-def unmatched_between(pages: DataFrame, matched: DataFrame, key: str, least_tokens: int = SPINE_TOKENS) -> DataFrame:
-    """Pages with enough tokens, no match, and a place between the first and the last match."""
+def unmatched_between(pages: DataFrame, matched: DataFrame, key: str, least_tokens: int = SPINE_TOKENS, contents: DataFrame | None = None) -> DataFrame:
+    """Pages with enough tokens, no match, and a place between the first and the last match; the keys of contents pages are left out."""
     ends = matched.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
     inside = pages.join(F.broadcast(ends), F.col(key).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    if contents is not None:
+        inside = inside.join(contents.select(key).distinct(), key, "left_anti")
     return inside.join(matched.select(key).distinct(), key, "left_anti").where(F.col("n_tokens") >= least_tokens)
 
 
