@@ -9,8 +9,12 @@ dropped, so plain spans always stay as they are.
 
 Offsets are code points, ends exclusive.  Defined results: null is the empty
 text, which has no spans; spans of different kinds may overlap; rows are
-answered one by one; further columns are ignored.  All detectors run in time
-linear in the text.
+answered one by one; an empty table gives no rows; further columns are ignored.
+All detectors and transducers run in time linear in the text.
+
+The at/dot transducer takes "at" as a sign only before a domain with a spelled
+dot ("look at example.com" is no address), a spaced "@" before any domain, and a
+spelled dot only inside an address or between two numbers.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ Span = tuple[int, int, str]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++){3,}+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
@@ -101,7 +105,7 @@ _LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "е": "e", "ԁ": "d", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "υ": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y",
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "χ": "x", "γ": "y", "ε": "e", "τ": "t", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "․": ".", "。": ".", "·": ".", "∙": ".", "＋": "+", " ": " ", " ": " ", " ": " ", " ": " ",
+    "ı": "i", "İ": "I", "ſ": "s", "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "․": ".", "。": ".", "·": ".", "∙": ".", "＋": "+", " ": " ", " ": " ", " ": " ", " ": " ",
 }
 # Characters that show nothing.
 _INVISIBLE = "­​‌‍⁠﻿᠎‎‏"
@@ -114,13 +118,23 @@ _DIGIT_NAMES = {
 }
 
 _names = "|".join(sorted(_DIGIT_NAMES, key=len, reverse=True))
-_SPOKEN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\s-]*)?(?:{_names}|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:dot|point)[\s-]+)?(?:{_names}|[0-9]+))+(?![^\W_])", re.I)
-_SPOKEN_HINT = re.compile(rf"(?:{_names})[\s,.-]{{1,3}}(?:(?:dot|point)[\s-]+)?(?:{_names}|[0-9])", re.I)
-_SPOKEN_PART = re.compile(rf"(?P<plus>plus|\+)|(?P<name>{_names})|(?P<digits>[0-9]+)|(?P<dot>dot|point)", re.I)
+_LABEL = "[a-z0-9-]{1,63}"
+# All of these read folded texts, so none ignores case.
+_SPOKEN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\s-]*)?(?:{_names}|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:dot|point)[\s-]+)?(?:{_names}|[0-9]+))+(?![^\W_])")
+_SPOKEN_HINT = re.compile(rf"(?:{_names})[\s,.-]{{1,3}}(?:(?:dot|point)[\s-]+)?(?:{_names}|[0-9])")
+_SPOKEN_PART = re.compile(rf"(?P<plus>plus|\+)|(?P<name>{_names})|(?P<digits>[0-9]+)|(?P<dot>dot|point)")
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
-_MARKED = re.compile(rf"\s{{0,3}}{_OPEN}(?:(?P<at>at|@|arroba|arobase)|(?P<dot>dot|\.|punto|point|punkt)){_CLOSE}\s{{0,3}}", re.I)
-_SPACED = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})(?=[A-Za-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]{1,63})+)", re.I)
-_SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I)
+_MARKED = re.compile(rf"\s{{0,3}}{_OPEN}(?:(?P<at>at|@|arroba|arobase)|(?P<dot>dot|\.|punto|point|punkt)){_CLOSE}\s{{0,3}}")
+_SPACED = re.compile(
+    rf"(?<=[a-z0-9])(?:\s++at\s++(?={_LABEL}(?:\.{_LABEL})*\s++dot\s++[a-z0-9])|(?:\s++@\s*+|@\s++)(?={_LABEL}(?:\.|\s++dot\s++)[a-z0-9]))"
+)
+_SPACED_DOT = re.compile(r"(?<=[a-z0-9])\s++dot\s++(?=[a-z0-9])")
+_LOCAL_RUN = re.compile(r"[a-z0-9._%+-]+")
+
+
+def _fold(text: str) -> str:
+    """Lower case, character by character; the one letter whose lower case is two characters becomes i."""
+    return text.replace("İ", "i").lower()
 
 
 def _odd_characters() -> str:
@@ -173,38 +187,54 @@ def _unmask_characters(t: Traced) -> Traced:
     return t.rewrite([(m.start(), m.end(), [(c, m.start(), m.end())] if (c := _ascii_of(m.group())) else []) for m in _ODD.finditer(t.text)])
 
 
+def _address_dots(low: str) -> Iterator[re.Match]:
+    """Spelled dots between two numbers, or between a sign and the end of its address, or in a run of them up to a sign.
+
+    Every run of address characters is read once from its front and once from its
+    back, as the space beside a spelled dot ends it.
+    """
+    found = list(_SPACED_DOT.finditer(low))
+    leads = [False] * len(found)  # to a sign, over address characters and spelled dots
+    for i in range(len(found) - 1, -1, -1):
+        run = _LOCAL_RUN.match(low, found[i].end())
+        end = run.end() if run else found[i].end()
+        leads[i] = low[end : end + 1] == "@" or (i + 1 < len(found) and found[i + 1].start() == end and leads[i + 1])
+    inside = -1  # end of the last dot of an address whose sign is behind
+    for m, lead in zip(found, leads, strict=True):
+        k = m.start()
+        while k > inside and low[k - 1] in _LOCAL:
+            k -= 1
+        follows = k == inside or (k > 0 and low[k - 1] == "@")
+        if follows:
+            inside = m.end()
+        if follows or lead or (low[m.start() - 1].isdigit() and low[m.end()].isdigit()):
+            yield m
+
+
 def _unmask_signs(t: Traced) -> Traced:
-    low = t.text.lower()
+    low = _fold(t.text)
     if any(x in low for x in ("[", "(", "{", "<")):
-        t = t.rewrite([(m.start(), m.end(), [("@" if m["at"] else ".", m.start(), m.end())]) for m in _MARKED.finditer(t.text)])
+        t = t.rewrite([(m.start(), m.end(), [("@" if m["at"] else ".", m.start(), m.end())]) for m in _MARKED.finditer(low)])
+        low = _fold(t.text)
+    if "dot" in low or "@" in low:
+        t = t.rewrite([(m.start(), m.end(), [("@", m.start(), m.end())]) for m in _SPACED.finditer(low)])
     if "dot" in low:
-        t = t.rewrite([(m.start(), m.end(), [("@", m.start(), m.end())]) for m in _SPACED.finditer(t.text)])
-        if "@" in t.text:
-            after = [i for i, c in enumerate(t.text) if c == "@"]
-            edits, last = [], -1
-            for m in _SPACED_DOT.finditer(t.text):
-                # only inside an address: nothing but address characters since its sign or the last dot
-                k = bisect_left(after, m.start()) - 1
-                since = max(after[k] + 1 if k >= 0 else -1, last)
-                ahead = re.compile(r"[A-Za-z0-9._%+-]*@").match(t.text, m.end())
-                if (since >= 0 and all(c in _LOCAL for c in t.text[since : m.start()])) or ahead:
-                    edits.append((m.start(), m.end(), [(".", m.start(), m.end())]))
-                    last = m.end()
-            t = t.rewrite(edits)
+        t = t.rewrite([(m.start(), m.end(), [(".", m.start(), m.end())]) for m in _address_dots(_fold(t.text))])
     return t
 
 
 def _unmask_digits(t: Traced) -> Traced:
-    if not _SPOKEN_HINT.search(t.text):
+    low = _fold(t.text)
+    if not _SPOKEN_HINT.search(low):
         return t
     edits = []
-    for run in _SPOKEN.finditer(t.text):
+    for run in _SPOKEN.finditer(low):
         pieces: list[tuple[str, int, int]] = []
         named = 0
-        for m in _SPOKEN_PART.finditer(t.text, run.start(), run.end()):
+        for m in _SPOKEN_PART.finditer(low, run.start(), run.end()):
             if m["name"]:
                 named += 1
-                pieces.append((_DIGIT_NAMES[m["name"].lower()], m.start(), m.end()))
+                pieces.append((_DIGIT_NAMES[m["name"]], m.start(), m.end()))
             elif m["digits"]:
                 pieces.extend((c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m["digits"]))
             else:
@@ -259,8 +289,8 @@ def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def may_hide(column: pa.Array) -> np.ndarray:
     """Rows that a transducer could change, found on the bytes of all rows at once.
 
-    A row passes with a bracket, a character outside the plain Latin letters, the
-    word "dot", or a digit's name next to another name, a number or a link word;
+    A row passes with a bracket, a character outside the plain Latin letters, an
+    "@" beside a space, the word "dot", or a digit's name next to another name, a number or a link word;
     each rewriting needs one of these.
     """
     out = np.zeros(len(column), dtype=bool)
@@ -274,6 +304,9 @@ def may_hide(column: pa.Array) -> np.ndarray:
             use[1:] |= (name[1:] & part[:-1]) | (part[1:] & name[:-1])
         rows = np.searchsorted(first, np.flatnonzero(use), "right") - 1
         rows = np.append(rows, np.searchsorted(offsets, np.flatnonzero(_SIGN_BYTE[buf]), "right") - 1)
+        at = np.flatnonzero(buf == 64)
+        beside = (~bk.NONSPACE[buf[np.maximum(at - 1, 0)]]) | (~bk.NONSPACE[buf[np.minimum(at + 1, len(buf) - 1)]])
+        rows = np.append(rows, np.searchsorted(offsets, at[beside], "right") - 1)
         out[lo + np.unique(rows)] = True
     return out
 
