@@ -13,8 +13,10 @@ Training reads at most SAMPLE labelled texts of each class, picked by a hash,
 and at most SAMPLE_CHARS characters of them; scoring reads whole texts.  Defined
 results: null and empty texts get the score of a text without words; without
 labelled rows of both classes every score is the share of good labels (0 without
-any); a null n_chars counts as the text's own length; null labels and repeated
-label rows are left out and taken once; rows are answered one by one.
+any); a null n_chars counts as the text's own length; null labels are left out
+and repeated label rows taken once; rows are answered one by one; an empty table
+gives no rows; further columns are ignored.  Features that no training text has
+count nothing.
 """
 
 from __future__ import annotations
@@ -189,6 +191,11 @@ def train(column: pa.Array, stated: np.ndarray, good: list[int]) -> Machine:
             m.bias -= rate * d_bias / np.sqrt(g_bias)
             m.linear[used] -= rate * d_linear / np.sqrt(g_linear[used])
             m.factors[used] -= rate * d_factors / np.sqrt(g_factors[used])
+    seen = np.zeros(N_FEATURES, dtype=bool)
+    for feature, _ in rows:
+        seen[feature] = True
+    m.linear[~seen] = 0
+    m.factors[~seen] = 0
     return m
 
 
@@ -206,8 +213,13 @@ def _stated(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine:
-    sample = labelled_sample(bounded_batches(docs), labels, "quality", allowed, SAMPLE, SAMPLE_CHARS)
-    return train_in_task(sample, lambda texts, good: train(pa.array(texts, pa.string()), np.full(len(texts), np.nan), good))
+    stated = F.col("n_chars").cast("double").alias("n_chars")
+    sample = labelled_sample(bounded_batches(docs), labels, "quality", allowed, SAMPLE, SAMPLE_CHARS, stated)
+
+    def trainer(texts: list[str], good: list[int], chars: list[float | None]) -> Machine:
+        return train(pa.array(texts, pa.string()), np.array([np.nan if c is None else c for c in chars], dtype=np.float64), good)
+
+    return train_in_task(sample, trainer, "n_chars")
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:

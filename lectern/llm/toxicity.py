@@ -2,26 +2,30 @@
 
 The kernel counts common subsequences of four letters or word edges, each
 weighted by DECAY ** (letters it spans) and spanning at most seven, so "idxiot"
-keeps much of the weight of "idiot"; signs put between letters span nothing.  Texts are cut into sentences and
-those into windows of at most WINDOW characters.  Landmarks are words
-and beginnings of words of the labelled sentences: those most tied to the toxic
-label, and common ones.  With
-the landmarks' kernel matrix K, a window x maps to K**(-1/2) k(x, landmarks), and
-a squared-hinge linear SVM is trained on these maps.  Only texts carry labels, so
-each round takes the top-scoring window of every toxic text as its positive
-sentence (mi-SVM), against windows of clean texts.
+keeps much of the weight of "idiot"; signs put between letters span nothing.
+Texts are cut into sentences, at a terminator after a word or at an empty line
+(sentences shorter than a window join the one before), and no subsequence or window reaches over a sentence's end; a sentence's windows
+have at most WINDOW characters.  Landmarks are words and beginnings of words of
+the labelled sentences: those most tied to the toxic label, and common ones.
+With the landmarks' kernel matrix K, a window x maps to K**(-1/2) k(x, landmarks),
+and a squared-hinge linear SVM is trained on these maps.  Only texts carry
+labels, so each round takes the top-scoring window of every toxic text as its
+positive one (mi-SVM), against windows of clean texts.
 
 A trained machine is sum(alpha * k(x, landmark)), and the kernel's feature space
 is explicit: the same sum is one weight per four-letter subsequence.  Scoring
 looks these weights up for all texts of a batch at once, in time linear in the
-text; a text's score is calibrated on its TOP worst windows.
+text; a text's score is calibrated on its TOP worst windows, with MISS_COST for
+a toxic text that is missed.
 
 Training reads at most SAMPLE labelled texts of each class, picked by a hash,
-and at most SAMPLE_CHARS characters of them in the same order; scoring reads
-whole texts.  Defined results: null and empty texts get the score of a text
-without any subsequence; without labelled rows of both classes every score is
-the share of toxic labels (0 without any); rows are answered one by one; null
-labels and repeated label rows are left out and taken once.
+and at most SAMPLE_CHARS / 2 characters of each class in the same order, so a
+text longer than that never trains; scoring reads whole texts.  Defined results:
+null and empty texts get the score of a text without any subsequence; without
+labelled rows of both classes every score is the share of toxic labels (0
+without any); rows are answered one by one; null labels are left out and
+repeated label rows taken once; an empty table gives no rows; further columns
+are ignored, or kept as they are by keep_clean.
 """
 
 from __future__ import annotations
@@ -50,11 +54,11 @@ LEAST = 3
 _HASH_BITS = 20
 TOP = 3
 FOLDS = 3
-#: Clean texts of the sample that common landmarks are taken from.
-COMMON_TEXTS = 400
 SAMPLE = 3000
-SAMPLE_CHARS = 6_000_000
-ROUNDS = 2
+SAMPLE_CHARS = 12_000_000
+ROUNDS = 3
+#: A missed toxic text counts as this many clean texts marked, when scores are calibrated.
+MISS_COST = 3.0
 
 #: Letters by code from 2 on; 0 is a text's end and 1 the edge of a word.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáèéêëíìîïòóôùúûñç"
@@ -87,7 +91,8 @@ def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Signs between two letters ("i.d-iot") and spaces between lone letters
     ("i d i o t") are left out, so that they cost no gap; other runs of
-    characters that are no letters are one edge, as are a text's two ends.
+    characters that are no letters are one edge, as are a text's two ends.  An
+    edge that ends a sentence becomes an edge, SPAN - 1 ends and an edge.
     """
     joined = "".join(f" {t} " + "\0" * WINDOW for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -101,23 +106,52 @@ def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     blank = (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0)
     letter = codes > EDGE
     sign = ~letter & ~blank
+    stop = _sentence_ends(points, letter, blank)
     at = np.arange(n, dtype=np.int32)
     before = np.maximum.accumulate(np.where(sign, -1, at))
     after = np.minimum.accumulate(np.where(sign, n, at)[::-1])[::-1]
     keep = ~sign | ~(letter[before] & (before >= 0) & letter[np.minimum(after, n - 1)] & (after < n))
     kept = np.concatenate([[0], np.cumsum(keep)])
-    codes, blank, letter, borders = codes[keep], blank[keep], letter[keep], kept[borders]
+    codes, blank, letter, stop, borders = codes[keep], blank[keep], letter[keep], stop[keep], kept[borders]
     alone = letter.copy()
     alone[1:] &= ~letter[:-1]
     alone[:-1] &= ~letter[1:]
     keep = np.ones(len(codes), dtype=bool)
     keep[1:-1] = ~((codes[1:-1] == EDGE) & blank[1:-1] & alone[:-2] & alone[2:])
     kept = np.concatenate([[0], np.cumsum(keep)])
-    codes, borders = codes[keep], kept[borders]
-    keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = (codes[1:] != EDGE) | (codes[:-1] != EDGE)
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    return codes[keep], kept[borders]
+    codes, stop, borders = codes[keep], stop[keep], kept[borders]
+    # A run of edges is one, and ends a sentence if any of its characters does and a letter follows.
+    first = np.ones(len(codes), dtype=bool)
+    first[1:] = (codes[1:] != EDGE) | (codes[:-1] != EDGE)
+    run = np.flatnonzero(first)
+    ends = np.add.reduceat(stop.astype(np.int64), run) > 0
+    codes, borders = codes[run], np.concatenate([[0], np.cumsum(first)])[borders]
+    ends &= codes == EDGE
+    ends[:-1] &= codes[1:] > EDGE
+    ends[0] = ends[-1] = False
+    ends[1:] &= codes[:-1] > EDGE
+    stops = np.flatnonzero(ends)
+    since = np.maximum(np.append(-WINDOW, stops[:-1]), borders[np.searchsorted(borders, stops, "right") - 1]) if len(stops) else stops
+    ends[stops[stops - since < WINDOW]] = False
+    many = np.where(ends, SPAN + 1, 1)
+    place = np.concatenate([[0], np.cumsum(many)])
+    codes = np.repeat(codes, many)
+    gaps = place[:-1][ends]
+    codes[(gaps[:, None] + np.arange(1, SPAN)).ravel()] = 0
+    return codes, place[borders]
+
+
+def _sentence_ends(points: np.ndarray, letter: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """Terminators before white space whose word has two letters at least ("i. d. i. o. t." is no five sentences), and empty lines."""
+    out = np.zeros(len(points), dtype=bool)
+    mark = (points == 33) | (points == 46) | (points == 63) | (points == 0x2026) | (points == 0x3002)
+    word = np.zeros(len(points), dtype=bool)  # the two characters before are letters, or a terminator of that kind
+    word[2:] = letter[1:-1] & letter[:-2]
+    out[:-1] = mark[:-1] & word[:-1] & blank[1:]
+    out[1:] |= mark[1:] & mark[:-1] & np.append(blank[2:], True)
+    line = points == 10
+    out[1:] |= line[1:] & line[:-1]
+    return out
 
 
 def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.float32]]:
@@ -145,14 +179,11 @@ def response(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def window_scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Score of the window that starts at each position."""
+    """Score of the window that starts at each position and ends with its sentence at the latest."""
     sums = np.concatenate([[0.0], np.cumsum(response(codes, weights), dtype=np.float64)])
-    n = WINDOW - SPAN + 1
-    out = np.empty(len(codes))
-    m = max(0, len(codes) - n)
-    out[:m] = sums[n : n + m] - sums[:m]
-    out[m:] = sums[-1] - sums[m : len(codes)]
-    return out
+    at = np.arange(len(codes))
+    end = np.minimum.accumulate(np.where(codes == 0, at, len(codes))[::-1])[::-1]
+    return sums[np.minimum(at + WINDOW - SPAN + 1, end)] - sums[:-1]
 
 
 def _profile(landmark: str) -> dict[int, float]:
@@ -212,6 +243,17 @@ def _strings(text: str) -> set[str]:
     return out
 
 
+def _common(texts: list[str], least: int = 4096) -> Counter:
+    """Texts by string, of the `least` most common strings or a few more."""
+    mask = (1 << _HASH_BITS) - 1
+    hashed = np.zeros(1 << _HASH_BITS, dtype=np.int32)
+    for text in texts:
+        np.add.at(hashed, [hash(w) & mask for w in _strings(text)] or [], 1)
+    floor = max(1, int(np.partition(hashed, len(hashed) - least)[len(hashed) - least]))
+    often = (hashed >= floor).tolist()
+    return Counter(w for text in texts for w in _strings(text) if often[hash(w) & mask])
+
+
 def _pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Landmark strings, and how strongly each is tied to the toxic label (standard deviations over chance, 0 for common ones)."""
     # Most strings are rare; hashed counts leave them out before any is held.
@@ -230,7 +272,7 @@ def _pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.
     tie = {w: (n - base * seen[w]) / np.sqrt(base * (1 - base) * seen[w] + 1) for w, n in bad.items()}
     tied = sorted((w for w in tie if tie[w] > MIN_TIE), key=lambda w: (-tie[w], w))[: LANDMARKS * 3 // 4]
     have = set(tied)
-    clean = Counter(w for text in [t for t, y in zip(texts, toxic, strict=True) if not y][:COMMON_TEXTS] for w in _strings(text))
+    clean = _common([t for t, y in zip(texts, toxic, strict=True) if not y])
     common = [w for w in sorted(clean, key=lambda w: (-clean[w], w)) if w not in have][: min(LANDMARKS - len(tied), max(32, len(tied)))]
     return tied + common, np.array([tie[w] for w in tied] + [0.0] * len(common))
 
@@ -254,6 +296,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, ste
 def _logistic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Platt's slopes and shift of the top windows' scores; slopes are kept from falling below 0."""
     scale = float(np.abs(scores[:, 0]).mean()) or 1.0
+    cost = np.where(y > 0, MISS_COST, 1.0)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     use = list(range(scores.shape[1]))
     while True:
@@ -262,7 +305,7 @@ def _logistic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         w = np.zeros(len(use) + 1)
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (p - target) + penalty @ w)
+            step = np.linalg.solve((x * (cost * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (cost * (p - target)) + penalty @ w)
             w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
             if np.abs(step).max() < 1e-8:
                 break
@@ -346,6 +389,7 @@ def _fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             part = starts[lo : lo + 256]
             at = np.minimum(part[:, None] + np.arange(WINDOW), len(codes) - 1)
             windows = codes[at].astype(np.int32)
+            windows[np.maximum.accumulate(windows == 0, axis=1)] = 0  # nothing after the sentence's end
             count = np.zeros((len(part), len(features) + 1), dtype=np.float32)
             row = np.arange(len(part))[:, None]
             n = WINDOW - SPAN + 1
@@ -389,8 +433,8 @@ def score_texts(machine: Machine, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, most_chars: int) -> DataFrame:
-    """(doc_id, y, text) of at most `most` allowed texts of each class, picked by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, most_chars: int, *more: Column) -> DataFrame:
+    """(doc_id, y, text, more) of at most `most` allowed texts of each class, picked by a hash of the id.
 
     The labelled ids are picked first, so only the picked texts move; each class
     keeps at most half of `most_chars` characters, whole texts only.
@@ -401,7 +445,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     for y in (0, 1):
         some = ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).join(F.broadcast(picked), "doc_id")
     # Whole texts in hash order while they fit; lengths decide before any text moves.
     sizes = rows.select("doc_id", "y", F.length("text").alias("n")).groupBy("doc_id", "y").agg(F.sum("n").alias("n")).orderBy(order, "doc_id").collect()
     room, keep = {0: most_chars // 2, 1: most_chars // 2}, []
@@ -412,16 +456,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     return rows.where(F.col("doc_id").isin(keep)) if keep else rows.where("false")
 
 
-def train_in_task(sample: DataFrame, trainer: Callable[[list[str], list[int]], object]) -> object:
-    """The machine that `trainer` makes of a bounded sample, in one task; the driver gets only the machine."""
+def train_in_task(sample: DataFrame, trainer: Callable[..., object], *more: str) -> object:
+    """The machine that `trainer` makes of a bounded sample's texts, labels and further columns.
+
+    Only the sample goes to the one task that trains, by a shuffle, so the scan
+    behind it runs in parallel; the driver gets only the machine.
+    """
+    names = ["doc_id", "text", "y", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t, y) for batch in batches for i, y, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True))
-        machine = trainer([t for _, t, _ in rows], [y for *_, y in rows])
+        rows = sorted((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True)), key=lambda r: r[:3])
+        machine = trainer(*([r[k] for r in rows] for k in range(1, len(names))))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
 
-    got = sample.coalesce(1).mapInArrow(bk.tidy(run), "machine binary").collect()
-    return pickle.loads(got[0].machine) if got else trainer([], [])
+    got = sample.select(*names).repartition(1).mapInArrow(bk.tidy(run), "machine binary").collect()
+    return pickle.loads(got[0].machine) if got else trainer(*([] for _ in names[1:]))
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
