@@ -72,10 +72,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC records, audited against a replica with one character of every 97th page overwritten."""
+    """All pages as WARC records, audited against a replica with every 97th page overwritten in place, the next one longer, the next one lost."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    rotten = F.when(F.col("page_id") % 97 == 0, F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
-    return warc_fixity.audit(warc_fixity.lay_out(pages), warc_fixity.lay_out(pages.withColumn("html", rotten)), Workspace(spark, "op8"))
+    kind = F.col("page_id") % 97
+    rotten = F.when(kind == 0, F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).when(kind == 1, F.concat("html", F.lit("~"))).otherwise(F.col("html"))
+    replica = pages.where((kind != 2) | kind.isNull()).withColumn("html", rotten)
+    return warc_fixity.audit(warc_fixity.lay_out(pages), warc_fixity.lay_out(replica), Workspace(spark, "op8"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,13 +138,14 @@ ORACLES: dict[str, str] = {
     """.replace("LOWERED", _LOWER.format("coalesce(text, '')")),
     "op8_warc_fixity": """
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a,
-                          CASE WHEN page_id % 97 = 0 THEN '~' || substr(html, 2) ELSE coalesce(html, '') END AS b FROM pages),
+                          coalesce(CASE page_id % 97 WHEN 0 THEN '~' || substr(html, 2) WHEN 1 THEN html || '~' ELSE html END, '') AS b FROM pages),
              h AS (SELECT *, 'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:' || sha256(coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || url)
                             || '>\r\nWARC-Target-URI: ' || url || '\r\nContent-Type: text/html\r\nContent-Length: ' AS head FROM p),
              r AS (SELECT page_id, url, head || strlen(a) || '\r\n\r\n' || a || '\r\n\r\n' AS x, head || strlen(b) || '\r\n\r\n' || b || '\r\n\r\n' AS y FROM h),
-             d AS (SELECT CAST(floor(page_id / 1024) AS BIGINT) AS archive, page_id, url, CAST(strlen(x) AS BIGINT) AS length, sha256(x) AS digest, x <> y AS bad FROM r)
+             d AS (SELECT CAST(floor(page_id / 1024) AS BIGINT) AS archive, page_id, url, CAST(strlen(x) AS BIGINT) AS length, sha256(x) AS digest,
+                          CASE WHEN page_id % 97 = 2 THEN 'missing' WHEN x <> y THEN 'corrupt' ELSE 'ok' END AS state FROM r)
         SELECT archive, CAST(row_number() OVER w - 1 AS BIGINT) AS place, page_id,
-               CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, digest, CASE WHEN bad THEN 'corrupt' ELSE 'ok' END AS state
+               CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, digest, state
         FROM d WINDOW w AS (PARTITION BY archive ORDER BY page_id, url, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
     """.replace("\r\n", "' || chr(13) || chr(10) || '"),
     "op9_decontaminate": f"""

@@ -303,20 +303,44 @@ def test_shards_of_nothing(spark, tmp_path):
 PAGES = "page_id long, url string, html string, digest string"
 
 
+def audited(spark, pages, theirs):
+    sides = [warc_fixity.lay_out(spark.createDataFrame(rows, PAGES)) for rows in (pages, theirs)]
+    return warc_fixity.audit(*sides, Workspace(spark, "t")).collect()
+
+
+def states(rows):
+    out = {}
+    for r in rows:
+        if r.state != "ok":
+            out.setdefault(r.state, []).append(r.page_id)
+    return {k: sorted(v, key=str) for k, v in out.items()}
+
+
 def test_fixity(spark):
-    pages = [(i, f"http://h/{i}", f"<p>{i} é</p>", "x") for i in range(2500)] + [(None, None, None, "x"), (7, "http://h/7", "twin", "x")]
-    ours = warc_fixity.lay_out(spark.createDataFrame(pages, PAGES))
-    bad = [(i, u, "<p>rot</p>" if i in (3, 1500) else h, x) for i, u, h, x in pages if i != 2499]
-    got = warc_fixity.audit(ours, warc_fixity.lay_out(spark.createDataFrame(bad, PAGES)), Workspace(spark, "t"))
-    states = {}
-    for r in got.collect():
-        states.setdefault(r.state, set()).add(r.page_id)
-    assert len(pages) == got.where("state <> 'extra'").count()
-    assert {3, 1500} <= states["corrupt"] and states["missing"] == {2499} and 2400 in states["ok"] and None in states["ok"]
-    assert set(states["ok"]) >= set(range(1024, 1500))  # ranges after a changed length differ, archives do not
-    same = warc_fixity.audit(ours, ours, Workspace(spark, "t"))
-    assert same.where("state <> 'ok'").count() == 0
-    assert warc_fixity.audit(ours.limit(0), ours.limit(0), Workspace(spark, "t")).count() == 0
+    pages = [(i, f"http://h/{i}", f"<p>{i} é</p>", "x") for i in range(2500)] + [(None, None, None, "x"), (7, "http://h/7", "twin", "x"), (None, "http://n", "n", "x")]
+    pages += [(9, "http://h/9", "<p>9 é</p>", "x")] * 3
+    rows = audited(spark, pages, pages)
+    assert len(rows) == len(pages) and states(rows) == {}
+    for archive in {r.archive for r in rows}:
+        some = sorted((r for r in rows if r.archive == archive), key=lambda r: r.place)
+        assert [r.place for r in some] == list(range(len(some)))
+        assert [r.offset for r in some] == [sum(x.length for x in some[:k]) for k in range(len(some))] or len(some) > 100
+    changed = {3: "<p>3 !</p>", 1500: "<p>a longer one</p>", 2000: ""}
+    bad = [(i, u, changed.get(i, h), x) for i, u, h, x in pages if i != 1024]
+    assert states(audited(spark, pages, bad)) == {"corrupt": [1500, 2000, 3], "missing": [1024]}
+    assert states(audited(spark, pages, [*pages, (5000, "u", "more", "x"), (9, "http://h/9", "<p>9 é</p>", "x")])) == {"extra": [5000, 9]}
+    assert states(audited(spark, pages, [p for p in pages if p[0] is not None])) == {"missing": [None, None]}
+    assert states(audited(spark, pages, [(i, u, "rot" if h == "twin" else h, x) for i, u, h, x in pages])) == {"corrupt": [7]}
+
+
+@pytest.mark.parametrize("size", [10, 200])
+def test_one_damage_is_one_record(spark, size):
+    """One longer record, one lost record: whatever lies behind them stays whole."""
+    pages = [(i, f"http://h/{i}", f"<p>{i}</p>", "x") for i in range(size)]
+    assert states(audited(spark, pages, [(i, u, h + "x" * (i == 3), x) for i, u, h, x in pages])) == {"corrupt": [3]}
+    assert states(audited(spark, pages, pages[:3] + pages[4:])) == {"missing": [3]}
+    assert states(audited(spark, pages, [])) == {"missing": sorted(range(size), key=str)}
+    assert audited(spark, [], []) == []
 
 
 def test_record_reads_back(spark):
