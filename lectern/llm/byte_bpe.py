@@ -8,16 +8,25 @@ Entries are never removed early: one whose pair has since changed is stale and
 skipped when it comes up.  A pre-token of n bytes takes O(n log n) steps, so
 one of a million bytes is no special case.
 
+Texts are split by the pattern as the tiktoken library splits them.  The pattern
+engine here knows newer Unicode tables than that library; a character that the
+two put into different classes is read as a stand-in of the library's class
+while the text is split, and as itself in the pieces.
+
 Defined results: null is the empty text, which has no ids; long texts are split
-into pre-tokens piece by piece; rows keep their order and repeats.
+into pre-tokens piece by piece; rows keep their repeats; an empty table gives no
+rows; further columns stay as they are, but one named like the result is
+replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from heapq import heappop, heappush
 from itertools import islice, pairwise
 
@@ -26,6 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .bytekit import tidy
 from .workspace import bounded_batches
@@ -59,10 +69,54 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _members(matches: list[str]) -> set[str]:
+    return set("".join(matches))
+
+
+@cache
+def stand_ins(pattern: str) -> dict[int, str]:
+    """By code point, a character to split by in its place: one whose classes are those that tiktoken sees.
+
+    Every code point is asked for each class that the pattern names, once by
+    each engine.  Stand-ins are no ASCII, so that no literal of the pattern
+    takes them.
+    """
+    import tiktoken
+
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    text = "".join(points)
+    single = {bytes([b]): b for b in range(256)}
+    ours: dict[str, list[bool]] = {c: [] for c in points}
+    theirs: dict[str, list[bool]] = {c: [] for c in points}
+    for name in sorted(set(re.findall(r"\\p\{[^}]*\}|\\s", pattern))):
+        asked = tiktoken.Encoding(name, pat_str=name, mergeable_ranks=single, special_tokens={})
+        there = _members([bytes(asked.encode_ordinary(text)).decode()])
+        here = _members(regex.findall(name, text))
+        for c in points:
+            ours[c].append(c in here)
+            theirs[c].append(c in there)
+    usable = {}
+    for c in reversed(points):
+        if not c.isascii() and ours[c] == theirs[c]:
+            usable[tuple(ours[c])] = c
+    return {ord(c): usable[tuple(theirs[c])] for c in points if ours[c] != theirs[c]}
+
+
+def _ranges(points: list[int]) -> str:
+    """A character class of these code points."""
+    out: list[list[int]] = []
+    for c in sorted(points):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
+
+
 class Tokenizer:
     """Encoder and decoder over a table of token bytes and ids (the ids are merge ranks)."""
 
-    def __init__(self, content: bytes, pattern: str, memo: int = MEMO_ENTRIES):
+    def __init__(self, content: bytes, pattern: str, memo: int = MEMO_ENTRIES, instead: dict[int, str] | None = None):
         ranks = self.ranks = read_ranks(content)
         self.vocab = _token_bytes(ranks)
         self.size = len(self.vocab)
@@ -75,6 +129,8 @@ class Tokenizer:
                 if left is not None and right is not None:
                     self.pairs[left * self.size + right] = rank
         self.pattern = regex.compile(pattern)
+        self.instead = stand_ins(pattern) if instead is None else instead
+        self.odd = re.compile(_ranges(list(self.instead))) if self.instead else None
         self.leaf = [0] * ((self.size >> LEAF) + 1)
         self.memo = _Memo(self, memo)
 
@@ -156,11 +212,17 @@ class Tokenizer:
             i = after[i]
         return out
 
+    def pieces(self, text: str) -> Iterator[str]:
+        """The text's pre-tokens."""
+        if self.odd is None or text.isascii() or not self.odd.search(text):
+            return (m.group() for m in self.pattern.finditer(text))
+        return (text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.instead)))
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(text) <= _LONG:
+        if len(text) <= _LONG and (text.isascii() or not self.odd or not self.odd.search(text)):
             return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
-        found, parts = (m.group() for m in self.pattern.finditer(text)), []
+        found, parts = self.pieces(text), []
         while some := list(islice(found, 1 << 16)):
             parts.append(b"".join(map(self.memo.__getitem__, some)))
         return b"".join(parts)
@@ -190,44 +252,52 @@ class _Memo(dict):
 _loaded: dict[tuple[bytes, str], Tokenizer] = {}
 
 
-def tokenizer(content: bytes, pattern: str) -> Tokenizer:
+def tokenizer(content: bytes, pattern: str, instead: dict[int, str] | None = None) -> Tokenizer:
     """One tokenizer per worker process and vocabulary."""
     key = (hashlib.sha256(content).digest(), pattern)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Tokenizer(content, pattern)
+        _loaded[key] = Tokenizer(content, pattern, instead=instead)
     return _loaded[key]
 
 
-def encode_column(docs: DataFrame, vocabulary: bytes, pattern: str, text: str = "text") -> DataFrame:
-    """The rows with `ids`: the text's token ids as packed little-endian unsigned 32-bit integers."""
+def _with(frame: DataFrame, name: str, made: Callable[[], Callable[[pa.RecordBatch], pa.Array]]) -> DataFrame:
+    """The rows with a binary column of what `made()` gives for each batch, in place of any column of that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary, pattern)
+        one = made()
         for batch in batches:
-            ids = pa.array([t.encode(x.as_py() or "") for x in batch.column(text)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+            kept = [c for c in batch.schema.names if c != name]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), one(batch)], [*kept, name])
+
+    schema = StructType([*(f for f in frame.schema if f.name != name), StructField(name, BinaryType())])
+    return bounded_batches(frame).mapInArrow(tidy(run), schema)
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return bounded_batches(docs).mapInArrow(tidy(run), f"{names}, ids binary")
 
+def encode_column(docs: DataFrame, vocabulary: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """The rows with `ids`: the text's token ids as packed little-endian unsigned 32-bit integers."""
+    instead = stand_ins(pattern)
+
+    def made() -> Callable[[pa.RecordBatch], pa.Array]:
+        t = tokenizer(vocabulary, pattern, instead)
+        return lambda batch: pa.array([t.encode(x.as_py() or "") for x in batch.column(text)], pa.binary())
+
+    return _with(docs, "ids", made)
 
-def decode_column(rows: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids") -> DataFrame:
+
+def decode_column(rows: DataFrame, vocabulary: bytes, ids: str = "ids") -> DataFrame:
     """The rows with `decoded`: the bytes that the packed ids stand for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Callable[[pa.RecordBatch], pa.Array]:
         table = _token_bytes(read_ranks(vocabulary))  # a decoder needs neither merges nor memo
-        for batch in batches:
-            out = pa.array([decode_ids(table, x.as_py() or b"") for x in batch.column(ids)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
+        return lambda batch: pa.array([decode_ids(table, x.as_py() or b"") for x in batch.column(ids)], pa.binary())
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return bounded_batches(rows).mapInArrow(tidy(run), f"{names}, decoded binary")
+    return _with(rows, "decoded", made)
 
 
 def round_trip_digest(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, the ids decoded again."""
-    rows = decode_column(encode_column(docs.select("doc_id", "text"), vocabulary, pattern).drop("text"), vocabulary, pattern)
+    rows = decode_column(encode_column(docs.select("doc_id", "text"), vocabulary, pattern).drop("text"), vocabulary)
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

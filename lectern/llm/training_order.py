@@ -9,20 +9,24 @@ to tasks by ranges of whole shards and written in slot order: slot s is at byte
 (s % PER_SHARD) * stride of shard s // PER_SHARD, so a reader seeks to any slot
 and reads on sequentially from there.
 
-A shard is written under a temporary name and then renamed; a task that runs
-again writes the same bytes.  Sequence numbers follow the scan's partitions and
-are fixed once the packed table is written.  Defined results: null and empty
-texts give no ids; a partition's last sequence is padded with end marks and its
-true length kept; repeated rows are packed each; an empty table gives no slots
-and a manifest of 0; texts longer than a sequence run over several.
+A shard is written under a temporary name and then takes its own; a task that
+runs again writes the same bytes over it.  Temporary files of attempts that died
+are removed at the end.  Sequence numbers follow the scan's partitions and are
+fixed once the packed table is written.  Ids come from the tiktoken library; a
+text with a run of white space too long for it goes through this package's own
+encoder, which gives the same ids.  Defined results: null and empty texts give no
+ids; a partition's last sequence is padded with end marks and its true length
+kept; repeated rows are packed each; an empty table gives no slots and a manifest
+of 0; texts longer than a sequence run over several; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import byte_bpe
 from . import bytekit as bk
 from .workspace import Workspace, bounded_batches
 
@@ -70,13 +75,23 @@ class Feistel:
         return self._walk(slots, self.keys[::-1])
 
 
-def _encoder(content: bytes, pattern: str):
-    import base64
+#: The library's pattern engine keeps a stack over white space, which overflows in runs of some hundred thousand.
+_LONG_BLANK = re.compile(r"(?<!\s)\s{10000}")
 
+
+def encoder(content: bytes, pattern: str, instead: dict[int, str]) -> Callable[[str], Sequence[int]]:
+    """A function from a text to its ids."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks = byte_bpe.read_ranks(content)
+    quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(text: str) -> Sequence[int]:
+        if len(text) < 10_000 or not _LONG_BLANK.search(text):
+            return quick(text)
+        return np.frombuffer(byte_bpe.tokenizer(content, pattern, instead).encode(text), dtype="<u4").tolist()
+
+    return encode
 
 
 def _kind(end: int) -> type:
@@ -87,7 +102,7 @@ def _kind(end: int) -> type:
 def _dictionary(docs: DataFrame, content: bytes, pattern: str, end: int, length: int) -> bytes:
     """A compression dictionary from the beginnings of some texts; it changes sizes in flight, never a result."""
     some = docs.where("length(text) > 0").select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).limit(DICTIONARY_TEXTS).collect()
-    encode = _encoder(content, pattern).encode_ordinary
+    encode = encoder(content, pattern, byte_bpe.stand_ins(pattern))
     ids = np.array([i for r in some for i in [*encode(r.text), end]], dtype=_kind(end))
     rows = [ids[k : k + length].tobytes() for k in range(0, len(ids), length)]
     try:
@@ -101,8 +116,10 @@ def _compression(dictionary: bytes) -> dict:
 
 
 def _pack(content: bytes, pattern: str, end: int, length: int, dictionary: bytes):
+    instead = byte_bpe.stand_ins(pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(content, pattern).encode_ordinary
+        encode = encoder(content, pattern, instead)
         small = zstandard.ZstdCompressor(level=9, **_compression(dictionary))
         part, local = TaskContext.get().partitionId(), 0
         held = np.zeros(0, dtype=np.uint32)
@@ -158,6 +175,8 @@ def _write(folder: str, per_shard: int, stride: int, dictionary: bytes):
         def close() -> None:
             if file is not None:
                 file.close()
+                if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                    fs.delete_file(path)  # of an earlier attempt; not every store moves onto a file
                 fs.move(f"{path}.{attempt}", path)
 
         for batch in batches:
@@ -205,7 +224,11 @@ def materialise(docs: DataFrame, work: Workspace, folder: str, vocabulary: bytes
     starts = docs.sparkSession.createDataFrame(first, "part int, first long")
     placed = packed.join(F.broadcast(starts), "part").mapInArrow(_assign(Feistel(n, key), per_shard), "shard long, slot long, number long, n_ids int, ids binary")
     ordered = placed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("slot")
-    return work.table(ordered.mapInArrow(_write(folder, per_shard, stride, dictionary), "slot long, number long, shard long, byte_offset long, n_ids int, crc32 long"), "index")
+    index = work.table(ordered.mapInArrow(_write(folder, per_shard, stride, dictionary), "slot long, number long, shard long, byte_offset long, n_ids int, crc32 long"), "index")
+    for file in fs.get_file_info(pafs.FileSelector(base)):
+        if re.search(r"\.bin\.[0-9]+$", file.path):
+            fs.delete_file(file.path)
+    return index
 
 
 def read_slots(folder: str, start: int, count: int) -> Iterator[np.ndarray]:
