@@ -1,9 +1,9 @@
 """Vectorised kernels over Arrow text columns.
 
 Everything here works on the UTF-8 bytes of a batch of rows at once: words are
-found by a byte class table, hashed with a prefix-summed polynomial (one
-multiply and one add per byte, no Python object per word) and combined into
-shingles.  Memory follows the slice size, and a slice is never smaller than one
+found by a byte class table, hashed from their bytes read as two numbers (no
+Python object per word; words of more than 16 bytes go through a hash function
+one by one) and combined into shingles.  Memory follows the slice size, and a slice is never smaller than one
 text, so the longest single text sets the floor.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
 
@@ -39,7 +40,6 @@ def tidy(kernel: Kernel) -> Kernel:
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
-_PRIME_INV = pow(_PRIME, -1, 1 << 64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,13 +51,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _byte_values() -> np.ndarray:
-    v = mix(np.arange(1, 257, dtype=np.uint64) * _U(_PRIME))
-    v[65:91] = v[97:123]  # A-Z hash as a-z
-    return v
-
-
-BYTE_VALUES = _byte_values()
+#: A-Z as a-z, other bytes as they are.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+#: Masks of the first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_RUN = 1 << 16
 
 
 def _class(members: Iterator[int]) -> np.ndarray:
@@ -71,21 +70,6 @@ NONSPACE = _class(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D)
 #: Bytes inside a word when words are ASCII letters, digits and all non-ASCII.
 ALNUM = _class(b for b in range(256) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = []
-        for base in (_PRIME, _PRIME_INV):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _powers[:] = out
-    return _powers
-
-
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows of about `limit` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -128,22 +112,25 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tupl
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word, A-Z folded to a-z; words rise.
 
-    Words are hashed in runs of about SLICE_BYTES bytes, so that one long text
-    needs no longer tables than many short ones.
+    A word of up to 16 bytes is two numbers of eight, which are mixed with its
+    length; a longer one goes through xxh3.  Neither has words that meet by
+    their structure.  Words go in runs of some thousand, so that temporaries
+    stay small.
     """
     out = np.zeros(len(starts), dtype=np.uint64)
-    lo = 0
-    while lo < len(starts):
-        base = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
-        part = buf[base : int(ends[hi - 1])]
-        a, b = starts[lo:hi] - base, ends[lo:hi] - base
-        up, down = _power_tables(len(part) + 1)
-        sums = np.empty(len(part) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
-        out[lo:hi] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
-        lo = hi
+    if not len(starts):
+        return out
+    folded = np.concatenate([FOLD[buf], np.zeros(16, dtype=np.uint8)])
+    eights = np.ndarray((len(buf) + 9,), dtype="<u8", buffer=folded, strides=(1,))
+    for lo in range(0, len(starts), _RUN):
+        a = starts[lo : lo + _RUN]
+        size = ends[lo : lo + _RUN] - a
+        head = eights[a] & _FIRST[np.minimum(size, 8)]
+        tail = eights[np.minimum(a + 8, len(buf))] & _FIRST[np.clip(size - 8, 0, 8)]
+        out[lo : lo + _RUN] = mix(mix(head ^ _U(0x5851F42D4C957F2D)) + tail * _U(_PRIME) + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    view = memoryview(folded)
+    for i in np.flatnonzero(ends - starts > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
     return out
 
 

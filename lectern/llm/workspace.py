@@ -37,13 +37,16 @@ class Workspace:
 
     A table that is written and read again cuts the lineage: losing an executor
     costs only the running stage.  The folder goes when the application ends.
-    Only where ``spark.checkpoint.dir`` is unset (single-machine tests) does a
-    temporary folder stand in.
+    Where ``spark.checkpoint.dir`` is unset a temporary folder stands in, and only
+    if driver and executors are one process; other masters raise an error, as
+    their machines share no such folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
             root = "file://" + tempfile.gettempdir() + "/lectern-work"
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark = spark
@@ -106,6 +109,60 @@ def bucket_counts(frame: DataFrame, counter: Callable[[pa.RecordBatch, int], np.
     return out
 
 
+def filter_bits(n: int, per_entry: int = 16, most: int = 29) -> int:
+    """log2 of the bits of a membership filter over n entries: about `per_entry` each, and 2**most (64 MB) at the largest.
+
+    Past that size a filter lets more through; what it lets through is always
+    judged exactly afterwards.
+    """
+    return min(most, max(12, (max(1, n) * per_entry - 1).bit_length()))
+
+
+def bitmaps(frame: DataFrame, numbers: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], bits: dict[int, int]) -> dict[int, np.ndarray]:
+    """For each key a packed bitmap of 2**bits[key] bits, with the bits that `numbers(batch)` names as (key, bit numbers).
+
+    Each task sends the pieces of its bitmaps that hold a bit; pieces are united
+    per number, so the driver gets the bitmaps whatever the size of the input.
+    """
+    sizes = {k: 1 << max(0, b - 3) for k, b in bits.items()}
+    step = 512
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, at in numbers(batch):
+                if key not in own:
+                    own[key] = np.zeros(sizes[key], dtype=np.uint8)
+                at = np.unique(at)
+                np.bitwise_or.at(own[key], at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        for key, total in own.items():
+            used = np.flatnonzero(np.add.reduceat(total, np.arange(0, len(total), step), dtype=np.int64))
+            for lo in range(0, len(used), 4096):
+                some = used[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), key), pa.int32()), pa.array(some, pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in some], pa.binary())], ["key", "piece", "bits"]
+                )
+
+    def unite(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column("bits"):
+                got = np.frombuffer(x.as_buffer(), dtype=np.uint8)
+                total = got if total is None else total | got
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["key", "piece", "bits"])
+
+    schema = "key int, piece int, bits binary"
+    out = {k: np.zeros(n, dtype=np.uint8) for k, n in sizes.items()}
+    for key, piece, held in frame.mapInArrow(tidy(mark), schema).groupBy("key", "piece").applyInArrow(unite, schema).toLocalIterator():
+        out[key][piece * step : piece * step + len(held)] = np.frombuffer(held, dtype=np.uint8)
+    return out
+
+
+def among(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether these bits are set."""
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _pack(counts: np.ndarray) -> bytes:
     """Width code, then the counts in the narrowest unsigned type that holds them."""
     top = int(counts.max())

@@ -121,8 +121,7 @@ def test_windows_in_documents(spark):
     items = [(10, " ".join(item)), (11, "solo"), (12, None), (13, "..."), (10, " ".join(item)), (None, "y")]
     want = {1: (16, 11, 1, True), 2: (9, 0, 0, False), 3: (2, 1, 1, True), 4: (0, 0, 0, False), 5: (0, 0, 0, False), 6: (28, 28, 1, True), 7: (15, 10, 1, True), 8: (2, 1, 1, True)}
     assert contaminated(spark, docs, items) == want
-    assert contaminated(spark, docs, items, pass_windows=3) == want
-    kept = decontaminate.keep_uncontaminated(frame(spark, docs), spark.createDataFrame([(i, t, "x") for i, t in items], BENCH), Workspace(spark, "t"), pass_windows=3)
+    kept = decontaminate.keep_uncontaminated(frame(spark, docs), spark.createDataFrame([(i, t, "x") for i, t in items], BENCH), Workspace(spark, "t"))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5]
     assert contaminated(spark, docs, []) == {i: (n, 0, 0, False) for i, (n, *_) in want.items()}
 
@@ -145,6 +144,37 @@ def test_windows_by_force(spark):
         assert got[i] == (len(w), len(hit), len(some), bool(hit))
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_words_that_meet_modulo_powers_of_two(spark):
+    """Different words with equal polynomial hashes modulo 2**64 stay different."""
+    for n in (1024, 4096):
+        x, y = thue_morse(n), thue_morse(n, "b", "a")
+        docs = [(1, f"one two {x} three four"), (2, f"one two {y} three four")]
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, docs), Workspace(spark, "t"), 3, 50).collect()}
+        assert got == {1: 1, 2: 2}
+        assert {k: v[3] for k, v in contaminated(spark, docs, [(5, f"{x} three")]).items()} == {1: True, 2: False}
+
+
+def test_a_passage_of_many_documents(spark):
+    """One window in every document, many items with the same window, and runs that hold no window."""
+    item = [f"w{i}" for i in range(12)]
+    docs = [(i, f"a{i} b{i} " + " ".join(item[:10]) + f" c{i}") for i in range(300)] + [(1000, " ".join(item[:9])), (1001, " ".join(item[1:6] + item[3:12]))]
+    items = [(k, " ".join(item)) for k in range(40)]
+    got = contaminated(spark, docs, items)
+    assert all(got[i] == (13, 10, 40, True) for i in range(300)) and got[1000] == (9, 0, 0, False) and got[1001] == (14, 0, 0, False)
+
+
+def test_clashing_columns_stay(spark):
+    rows = spark.createDataFrame([(1, "solo word", "a", "b"), (2, "other", "a", "b"), (3, None, "a", "b")], "doc_id long, text string, `_row` string, runs string")
+    bench = spark.createDataFrame([(1, "solo", "x")], BENCH)
+    kept = decontaminate.keep_uncontaminated(rows, bench, Workspace(spark, "t"))
+    assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert decontaminate.keep_uncontaminated(rows.limit(0), bench.limit(0), Workspace(spark, "t")).count() == 0
+
+
 @pytest.mark.parametrize(
     "text, found",
     [
