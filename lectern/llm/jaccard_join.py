@@ -6,20 +6,24 @@ Sets of word shingles are joined through index lists over rare-first prefixes
 * index level: a list's entries lie in order of position and form blocks of
   sizes that can link; a block pair whose sizes or positions cannot reach the
   wanted overlap is skipped whole;
-* answer level: the first set of a block is computed first, the others of the
-  block start from its answer.  Sets found similar to it share its component, so
-  all pairs inside a component are derived and never compared; only blocks of
-  different components are joined entry by entry.
-
-Sets that are equal are one class from the start.  Rarity comes from a bounded
-sketch that counts every shingle of every document; any total order gives the
-same links, the sketch only keeps lists short.
+* answer level: the first set of a block, its leader, is computed first.  A set
+  that links with a leader takes the leader's answers and corrects them by its
+  difference to the leader: with the overlap of two leaders A and B computed
+  once, sets r of A and x of B overlap in |A and B| + |r - A| + |x - B| at most.
+  Pairs that this leaves below the wanted overlap are answered by it; only the
+  others are compared.  Pairs inside one component need no answer, as the result
+  names components.
+
+Sets that are equal are one class from the start.  Rarity comes from a sketch
+sized by the input that counts every shingle of every document; any total order
+gives the same links, the sketch only keeps lists short.
 
 Defined results: a null text or one without words has an empty set and links
 with nothing; fewer words than a shingle make one shingle; rows that share a
 doc_id are one document whose links are those of all its rows; a row without
-doc_id is its own and gets a null component; further columns are ignored.
-Shingles are compared by 64-bit hashes.
+doc_id is its own and gets a null component; an empty table gives no rows;
+further columns are ignored, or kept as they are by keep_one_of_each.  Shingles
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,14 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .workspace import Workspace, bounded_batches, bucket_counts, components
+from .workspace import Workspace, among, bitmaps, bounded_batches, bucket_levels, components, filter_bits, sketch_bits
 
-SKETCH_BITS = 20
-FILTER_BITS = 22
+WIDTH, PERCENT = 5, 80
 SIGNATURE = 64
 SALTS = 16
 
@@ -70,7 +73,7 @@ def _prefix_sizes(percent: int, n: np.ndarray) -> np.ndarray:
 
 
 def _describe(width: int, percent: int, rarity: np.ndarray):
-    shift = np.uint64(64 - SKETCH_BITS)
+    shift = np.uint64(65 - len(rarity).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,15 +171,23 @@ def _lists(percent: int):
     return run
 
 
-def _flag(ids: pa.Array, size: int) -> np.ndarray:
+def _flag(ids: pa.Array, bits: int) -> np.ndarray:
+    """Bit number of each id."""
     v = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)
-    return (bk.mix(v) & np.uint64(size - 1)).astype(np.int64)
+    return (bk.mix(v) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits and bitmap of a membership filter over a column of ids, sized by their number."""
+    name = ids.columns[0]
+    bits = filter_bits(ids.count())
+    return bits, bitmaps(ids, lambda batch: iter([(0, _flag(batch.column(name), bits))]), {0: bits})[0]
 
 
-def _sets_of(width: int, wanted: np.ndarray):
+def _sets_of(width: int, bits: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = wanted[_flag(batch.column("doc_id"), len(wanted))]
+            hit = among(wanted, _flag(batch.column("doc_id"), bits))
             if not hit.any():
                 continue
             batch = batch.filter(pa.array(hit))
@@ -186,125 +197,172 @@ def _sets_of(width: int, wanted: np.ndarray):
     return run
 
 
-def _may_link(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
-            s_a, s_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE) for c in ("s_a", "s_b"))
-            common = np.minimum(s_a, s_b).sum(axis=1, dtype=np.int64)
-            full = (np.minimum(s_a, s_b) == 65535).any(axis=1)  # a clipped counter bounds nothing
-            keep = (full | (common >= _overlap_needed(percent, n_a, n_b))) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    return run
-
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, most): an upper bound of the overlap, from counts of shingles by their last bits."""
+    for batch in batches:
+        n_a, n_b = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+        s_a, s_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE) for c in ("s_a", "s_b"))
+        both = np.minimum(s_a, s_b)
+        full = (both == 65535).any(axis=1)  # a clipped counter bounds nothing
+        small = np.minimum(n_a, n_b)
+        most = np.where(full, small, np.minimum(small, both.sum(axis=1, dtype=np.int64)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(most, pa.int64())], ["a", "b", "n_a", "n_b", "most"])
 
-def _links(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return run
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, common) of pairs of sets."""
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            out.append((len(x), len(y), len(x) + len(y) - len(np.unique(np.concatenate([x, y])))))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in columns)], ["a", "b", "n_a", "n_b", "common"])
 
 
-def jaccard_components(docs: DataFrame, work: Workspace, width: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, work: Workspace, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; see the module's docstring."""
     docs = bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    shift = np.uint64(64 - SKETCH_BITS)
+    bits = sketch_bits(docs)
+    shift = np.uint64(64 - bits)
 
     def buckets(batch: pa.RecordBatch, size: int) -> np.ndarray:
         got = [(values >> shift).astype(np.int64) for _, values, _ in shingle_sets(batch.column("text"), width)]
         return np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
 
-    rarity = bucket_counts(docs.select("text"), buckets, SKETCH_BITS).clip(0, 2**31 - 1).astype(np.int32)
+    rarity = bucket_levels(docs.select("text"), buckets, bits)
     described = work.table(docs.mapInArrow(bk.tidy(_describe(width, percent, rarity)), "doc_id long, n long, k1 long, k2 long, prefix binary, signature binary"), "sets")
 
-    classes = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    # A class may hold a third of all rows, so its rows meet its name in parts, by a salt from their ids.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
-    rows = described.select("doc_id", "n", "k1", "k2", salt)
-    parts = rows.where("n > 0 AND doc_id IS NOT NULL").select("k1", "k2", "salt").distinct().join(classes, ["k1", "k2"])
-    members = work.table(rows.join(parts, ["k1", "k2", "salt"], "left").select("doc_id", "n", "rep"), "members")
-    indexed = described.where("length(prefix) > 0").withColumnRenamed("doc_id", "rep").join(classes, ["rep", "k1", "k2"]).select("rep", "n", "prefix", "signature")
-    reps = work.table(indexed, "reps")
+    real = "n > 0 AND doc_id IS NOT NULL"
+    classes = work.table(described.where(real).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = work.table(described.where("length(prefix) > 0").withColumnRenamed("doc_id", "rep").join(classes, ["rep", "k1", "k2"]).select("rep", "n", "prefix", "signature"), "reps")
 
     entries = reps.mapInArrow(_entries, "token long, rep long, n long, pos int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = entries.repartitionByRange(parts, "token", "pos", "n", "rep").sortWithinPartitions("token", "pos", "n", "rep")
     lists = work.table(lists.mapInArrow(bk.tidy(_lists(percent)), "token long, rep long, n long, pos int, leads array<long>"), "lists")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def reach(overlap: str, a: str = "n_a", b: str = "n_b") -> Column:
+        """Whether an overlap is enough for sets of these sizes."""
+        return F.expr(f"{100 + percent} * ({overlap}) >= {percent} * ({a} + {b})")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
         left = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
         right = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-        likely = work.table(pairs.join(left, "a").join(right, "b").mapInArrow(_may_link(percent), "a long, b long").distinct(), "likely")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
-        wanted = bucket_counts(ids, lambda batch, size: _flag(batch.column("id"), size), FILTER_BITS) > 0
-        sets = work.table(docs.mapInArrow(bk.tidy(_sets_of(width, wanted)), "doc_id long, values binary").join(ids.distinct(), F.col("doc_id") == F.col("id"), "left_semi").distinct(), "verify")
+        return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_bounds, "a long, b long, n_a long, n_b long, most long")
+
+    def sets_for(pairs: DataFrame, *columns: str) -> DataFrame:
+        """The sets of all ids in these columns."""
+        ids = work.table(pairs.select(F.explode(F.array(*columns)).alias("id")).distinct(), "ids")
+        rows = docs.mapInArrow(bk.tidy(_sets_of(width, *_id_filter(ids))), "doc_id long, values binary")
+        return work.table(rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").distinct(), "verify")
+
+    def computed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, n_a, n_b, common) of every pair; an id whose rows hold several sets has a row for each."""
         x = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
-        return work.table(likely.join(x, "a").join(y, "b").mapInArrow(_links(percent), "a long, b long"), "links")
+        return work.table(pairs.select("a", "b").distinct().join(x, "a").join(y, "b").mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, common long"), "answers")
 
-    def pair(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    def links_of(answers: DataFrame) -> DataFrame:
+        return answers.where(reach("common")).select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v")
 
-    # Answers of each block's leader, and the components they give.
-    led = work.table(lists.select("rep", F.explode("leads").alias("lead")).select(*pair("lead", "rep")).distinct(), "led")
-    links = verified(led).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    shared = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
+    # The answers of each block's leader, and the components they give.
+    led = work.table(lists.select(F.explode("leads").alias("a"), F.col("rep").alias("b")).distinct(), "led")
+    likely = work.table(bounded(led).where(reach("most")).select("a", "b").distinct(), "likely")
+    answers = computed(likely, sets_for(likely, "a", "b"))
     # A document whose rows lie in several classes ties them together.
-    tied = members.where("rep IS NOT NULL").join(shared.where("u != v").select("doc_id", "u"), "doc_id").select("u", F.col("rep").alias("v")).where("u != v")
-    first = work.table(components(links.union(tied), work), "first")
+    twice = described.where(real).groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x != y").select("doc_id")
+    tied = described.where(real).join(twice, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    first = work.table(components(links_of(answers).union(tied.where("u != v")), work), "first")
 
     # What is left: blocks of one list that lie in different components.
     placed = work.table(lists.drop("leads").join(first, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")), "placed")
     blocks = placed.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rem"))
     met = blocks.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     blocks = blocks.join(met, "token", "left_semi")
-    far = blocks.select("token", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rem").alias("rem2"))
-    reach = f"100 * hi2 >= {percent} * lo AND 100 * hi >= {percent} * lo2 AND {100 + percent} * least(rem, rem2) >= {percent} * (lo + lo2)"
-    touch = blocks.join(far, "token").where(f"c < d AND {reach}").select("token", "c", "d")
-    other = placed.select("token", F.col("c").alias("d"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    near = f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND {100 + percent} * least(n - pos, n2 - pos2) >= {percent} * (n + n2)"
-    rest = touch.join(placed, ["token", "c"]).join(other, ["token", "d"]).where(near).select(*pair("rep", "rep2")).where("a != b").distinct()
-    rest = work.table(rest.join(led, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest)
-
-    def lift(frame: DataFrame, column: str, into: str) -> DataFrame:
-        to = first.select(F.col("node").alias(column), F.col("component").alias("_c"))
-        return frame.join(to, column, "left").withColumn(into, F.coalesce("_c", column)).drop("_c")
+    # Sizes that link lie in the same class or the next, so a list meets itself class by class.
+    step = np.log(100 / percent) if percent < 100 else 1.0
+    kind = lambda c: F.floor(F.log(F.col(c)) / F.lit(float(step)))
+    near_sizes = blocks.select("token", "c", "lo", "hi", "rem", F.explode(F.sequence(kind("lo"), kind("hi"))).alias("size_class"))
+    far = blocks.select("token", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rem").alias("rem2"), F.explode(F.sequence(kind("lo") - 1, kind("hi") + 1)).alias("size_class"))
+    can = f"100 * hi2 >= {percent} * lo AND 100 * hi >= {percent} * lo2 AND {100 + percent} * least(rem, rem2) >= {percent} * (lo + lo2)"
+    touch = near_sizes.join(far, ["token", "size_class"]).where(f"c < d AND {can}").select("token", "c", "d").distinct()
+    other = placed.select("token", F.col("c").alias("d"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    mine = placed.select("token", "c", F.col("rep").alias("a"), F.col("n").alias("n_a"), "pos")
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {100 + percent} * least(n_a - pos, n_b - pos_b) >= {percent} * (n_a + n_b)"
+    asked_before = led.union(led.select("b", "a"))
+    rest = touch.join(mine, ["token", "c"]).join(other, ["token", "d"]).where(fits).select("a", "b", "n_a", "n_b").distinct()
+    rest = work.table(rest.join(asked_before, ["a", "b"], "left_anti"), "rest")
+
+    more = None
+    if not rest.isEmpty():
+        # Each set's leader and its difference to it; sets without a linked leader lead themselves.
+        once = reps.groupBy("rep").agg(F.count("*").alias("k")).where("k = 1").select(F.col("rep").alias("b"))
+        anchors = answers.where(reach("common")).where("a != b").join(once, "b", "left_semi").groupBy("b").agg(F.min(F.struct((F.col("n_b") - F.col("common")).alias("differs"), F.col("a").alias("leader"))).alias("t"))
+        anchors = work.table(anchors.select(F.col("b").alias("rep"), "t.leader", "t.differs"), "anchors")
+
+        def side(column: str) -> DataFrame:
+            return anchors.select(F.col("rep").alias(column), F.col("leader").alias(f"leader_{column}"), F.col("differs").alias(f"differs_{column}"))
+
+        asked = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+            "a", "b", "n_a", "n_b", F.coalesce("leader_a", "a").alias("leader_a"), F.coalesce("leader_b", "b").alias("leader_b"),
+            (F.coalesce("differs_a", F.lit(0)) + F.coalesce("differs_b", F.lit(0))).alias("slack"),
+        )
+        pairs = asked.select(F.col("leader_a").alias("a"), F.col("leader_b").alias("b")).distinct()
+        leaders = bounded(pairs).groupBy("a", "b").agg(F.max("most").alias("most")).select(F.col("a").alias("leader_a"), F.col("b").alias("leader_b"), "most")
+        asked = work.table(asked.join(leaders, ["leader_a", "leader_b"]).where(reach("most + slack")), "asked")
+        sets = sets_for(asked, "a", "b", "leader_a", "leader_b")
+        led_answers = computed(asked.select(F.col("leader_a").alias("a"), F.col("leader_b").alias("b")), sets)
+        known = led_answers.groupBy("a", "b").agg(F.max("common").alias("common")).select(F.col("a").alias("leader_a"), F.col("b").alias("leader_b"), "common")
+        open_ = asked.join(known, ["leader_a", "leader_b"]).where(reach("common + slack")).where("a != leader_a OR b != leader_b")
+        likely = work.table(bounded(open_.select("a", "b").distinct()).where(reach("most")).select("a", "b").distinct(), "likely")
+        more = links_of(led_answers).union(links_of(computed(likely, sets)))
+
+    def lifted(frame: DataFrame, to: DataFrame, column: str, into: str, salt: Column) -> DataFrame:
+        """With the component of a column; one component may hold very many rows, so they meet its name in parts."""
+        names = to.select(F.col("node").alias(column), F.col("component").alias("_c"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_s"))
+        return frame.withColumn("_s", salt).join(names, [column, "_s"], "left").withColumn(into, F.coalesce("_c", column)).drop("_c", "_s")
+
+    named = lifted(classes, first, "rep", "c1", F.lit(0))
+    if more is not None:
+        zero = F.lit(0)
+        second = work.table(components(lifted(lifted(more, first, "u", "x", zero), first, "v", "y", zero).select(F.col("x").alias("u"), F.col("y").alias("v")), work), "second")
+        named = lifted(named, second, "c1", "component", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    else:
+        named = named.withColumn("component", F.col("c1"))
 
-    second = components(lift(lift(more, "a", "u"), "b", "v").select("u", "v"), work)
-    placed_reps = lift(members, "rep", "c1").join(second.select(F.col("node").alias("c1"), "component"), "c1", "left")
-    return placed_reps.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "c1", "doc_id")).alias("component_id"))
+    # A class may hold a third of all rows, so its rows meet its name in parts, by a salt from their ids.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    rows = described.where(real).select("doc_id", "n", "k1", "k2", salt)
+    parts_of = rows.select("k1", "k2", "salt").distinct().join(named.select("k1", "k2", "component"), ["k1", "k2"])
+    linked = rows.join(parts_of, ["k1", "k2", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = described.where(f"NOT ({real})").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
-def keep_one_of_each(docs: DataFrame, work: Workspace, width: int = 3, percent: int = 90) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, work: Workspace, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows, unchanged, of each component's least doc_id; of rows that share it, one.  Rows without doc_id stay.
 
-    Most rows are neither linked to a lesser id nor repeated.  A bitmap of fixed
-    size over the ids that are tells them apart where they lie, so only rows that
-    it marks are shuffled to be judged.
+    Most rows are neither linked to a lesser id nor repeated.  A bitmap over the
+    ids that are, sized by their number, tells them apart where they lie, so only
+    rows that it marks are shuffled to be judged.
     """
     found = work.table(jaccard_components(docs, work, width, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "found")
-    judged = found.where("doc_id <> component_id OR copies > 1")
-    marked = bucket_counts(judged.select("doc_id"), lambda batch, size: _flag(batch.column("doc_id"), size), FILTER_BITS) > 0
+    bits, marked = _id_filter(found.where("doc_id <> component_id OR copies > 1").select("doc_id"))
 
     def side(keep_marked: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("doc_id").cast(pa.int64())
-                hit = marked[_flag(ids, len(marked))] & np.asarray(ids.is_valid())
+                hit = among(marked, _flag(ids, bits)) & np.asarray(ids.is_valid())
                 yield batch.filter(pa.array(hit == keep_marked))
 
         return run
 
     plain, open_ = (docs.mapInArrow(bk.tidy(side(x)), docs.schema) for x in (False, True))
     mark = "_jaccard_keep"
+    while mark in docs.columns:
+        mark += "_"
     chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark))
     kept = open_.join(chosen, F.col("doc_id") == F.col(mark), "left_semi")
     # Rows of one doc_id now lie together; the one whose columns hash least stays.

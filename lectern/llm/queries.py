@@ -52,7 +52,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
+    return jaccard_components(_table(spark, sf_dir, "documents"), Workspace(spark, "op4"), 3, 90)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

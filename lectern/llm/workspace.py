@@ -56,42 +56,58 @@ class Workspace:
         fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         fs.mkdirs(folder)
         fs.deleteOnExit(folder)
-        self._n = 0
+        self._fs, self._n, self.latest = fs, 0, ""
 
     def table(self, frame: DataFrame, name: str = "t", **options: str) -> DataFrame:
         """Write a frame, with options for the writer, and return it read back."""
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
         frame.write.options(**options).parquet(path)
+        self.latest = path
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def remove(self, path: str) -> None:
+        """Delete a table that nothing reads any more."""
+        self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
 
 CHUNK_BITS = 12
 
 
-def bucket_counts(frame: DataFrame, counter: Callable[[pa.RecordBatch, int], np.ndarray], bits: int) -> np.ndarray:
-    """Counts over all rows in 2**bits buckets.
+def sketch_bits(frame: DataFrame, least: int = 20, most: int = 25) -> int:
+    """log2 of the counters of a frequency sketch over a frame's texts: one for each 64 bytes the scan is estimated at.
+
+    2**most counters (32 MB when sent out) is the largest; past that, each
+    counter holds more neighbours and only more frequent entries stand out.
+    """
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(most, max(least, (size // 64).bit_length()))
+
+
+def bucket_levels(frame: DataFrame, counter: Callable[[pa.RecordBatch, int], np.ndarray], bits: int) -> np.ndarray:
+    """How full 2**bits buckets are over all rows: four times the binary logarithm of 1 + count, a byte each.
 
     `counter(batch, 2**bits)` gives one batch's bucket numbers.  Each task sends
     its sums as pieces of 4,096 buckets; pieces are added up per piece number, so
-    the driver gets 2**bits numbers whatever the size of the input.
+    the driver gets 2**bits bytes whatever the size of the input.
     """
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint32)
         some = False
         for batch in batches:
             got = counter(batch, size)
             if len(got):
-                total += np.bincount(got, minlength=size)
+                at, many = np.unique(got, return_counts=True)
+                total[at] += many.astype(np.uint32)
                 some = True
         if some:
             pieces = total.reshape(-1, 1 << min(bits, CHUNK_BITS))
             used = np.flatnonzero(pieces.any(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([_pack(pieces[i]) for i in used], pa.binary())], ["piece", "counts"]
-            )
+            for lo in range(0, len(used), 1024):
+                part = used[lo : lo + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([_pack(pieces[i]) for i in part], pa.binary())], ["piece", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -99,13 +115,14 @@ def bucket_counts(frame: DataFrame, counter: Callable[[pa.RecordBatch, int], np.
             for x in batch.column("counts"):
                 got = _unpack(x.as_py())
                 total = got if total is None else total + got
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
+        level = np.round(4 * np.log2(1.0 + total)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["piece", "counts"])
 
     schema = "piece int, counts binary"
-    out = np.zeros(size, dtype=np.int64)
+    out = np.zeros(size, dtype=np.uint8)
     step = 1 << min(bits, CHUNK_BITS)
-    for piece, counts in frame.mapInArrow(tidy(count), schema).groupBy("piece").applyInArrow(add, schema).collect():
-        out[piece * step : (piece + 1) * step] = np.frombuffer(counts, dtype=np.int64)
+    for piece, levels in frame.mapInArrow(tidy(count), schema).groupBy("piece").applyInArrow(add, schema).toLocalIterator():
+        out[piece * step : (piece + 1) * step] = np.frombuffer(levels, dtype=np.uint8)
     return out
 
 
@@ -194,26 +211,26 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], ["u", "v"])
 
 
-def components(edges: DataFrame, work: Workspace, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, component) of every node on an edge (u, v) but each component's least node, which names it.
 
     Edges are first contracted inside each partition, then large-star and
     small-star steps alternate (Kiveris et al., 2014) until nothing changes.
-    Each round is written out; the driver sees one checksum a round.
+    Each round is written out and the one before removed; the driver sees one
+    checksum a round.
     """
     stars = work.table(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").mapInArrow(_contract, "u long, v long"), "edges")
-    before = None
-    for _ in range(most):
+    held, before = work.latest, None
+    while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         stars = work.table(small, "stars")
+        work.remove(held)
+        held = work.latest
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return stars.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").select("node", "component")
         before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return stars.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").select("node", "component")

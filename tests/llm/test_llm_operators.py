@@ -59,11 +59,11 @@ def test_components(spark):
 
 def test_jaccard_odd_rows(spark):
     rows = frame(spark, ODD)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows, Workspace(spark, "t")).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows, Workspace(spark, "t"), 3, 90).collect()), key=str)
     n = {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 4, 7: 1, 8: 1}
     want = [(i, n[i], {7: 5}.get(i, i)) for i in (1, 2, 3, 4, 5, 6, 7, 7, 8)] + [(None, 1, None)]
     assert got == sorted(want, key=str)
-    kept = jaccard_join.keep_one_of_each(rows, Workspace(spark, "t"))
+    kept = jaccard_join.keep_one_of_each(rows, Workspace(spark, "t"), 3, 90)
     assert kept.columns == rows.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 8, None], key=str)
 
@@ -99,7 +99,7 @@ def test_jaccard_near_copies(spark, seed):
     least = {}
     for i, r in enumerate(roots):
         least[r] = min(least.get(r, i), i)
-    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, list(enumerate(texts))), Workspace(spark, "t")).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, list(enumerate(texts))), Workspace(spark, "t"), 3, 90).collect()}
     assert got == {i: least[r] for i, r in enumerate(roots)}
 
 
