@@ -94,9 +94,24 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def turns_as_events(turns: DataFrame) -> DataFrame:
-    """A table of whole turns (conv_id, turn, role, text) as a log with one setting row a message."""
-    null = F.lit(None)
-    return turns.select("conv_id", F.col("turn").alias("seq"), null.cast("string").alias("message_id"), "role", F.lit("message").alias("kind"), "text")
+    """A table of whole turns (conv_id, turn, role, text) as the log that a client would have streamed.
+
+    Every turn starts as a message.  By its number, every third one is then
+    regenerated in two deltas and every third one edited; each ends as the
+    turn's text.  Rows of one turn keep the order of their roles and texts.
+    """
+    half = F.floor(F.length("text") / 2).cast("int")
+
+    def event(part: int, kind: str, text: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    whole = event(0, "message", F.col("text"))
+    streamed = [event(1, "regenerate", F.lit(None).cast("string")), event(2, "delta", F.substring("text", 1, half)), event(3, "delta", F.substring("text", half + 1, F.length("text")))]
+    third = F.pmod("turn", F.lit(3))
+    log = F.when(third == 1, F.array(whole, *streamed)).when(third == 2, F.array(whole, event(1, "edit", F.col("text")))).otherwise(F.array(whole))
+    rows = turns.select("conv_id", "turn", "role", "text").withColumn("message_id", F.monotonically_increasing_id().cast("string"))
+    rows = rows.select("conv_id", "turn", "message_id", "role", F.explode(log).alias("e"))
+    return rows.select("conv_id", (F.col("turn") * 4 + F.col("e.part")).alias("seq"), "message_id", F.when(F.col("e.part") == 0, F.col("role")).alias("role"), F.col("e.kind").alias("kind"), F.col("e.text").alias("text"))
 
 
 def format_digest(back: DataFrame) -> DataFrame:

@@ -179,8 +179,14 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, lanes: int = 32) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k best rows."""
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, lanes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k best rows.
+
+    Without a number of lanes there is one for each candidate block, up to four
+    for each core.
+    """
+    if lanes is None:
+        lanes = max(1, min(-(-vectors.count() // BLOCK), 4 * vectors.sparkSession.sparkContext.defaultParallelism))
     vectors, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding") for x in (vectors, queries))
     schema = "lane int, dim int, ids binary, vals binary"
     blocks = vectors.mapInArrow(_pack(scale, BLOCK, lanes), schema)

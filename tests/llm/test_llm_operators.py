@@ -257,6 +257,20 @@ def test_chat_events(spark):
     assert rendered.where("false").count() == 0 and chat_format.fold_events(events.limit(0)).count() == 0
 
 
+def test_turns_go_through_real_events(spark):
+    """Deltas, edits and regenerations fold back to the turns, in their order, ties and nulls included."""
+    turns = [("c", t, "user" if t % 2 else "assistant", f"text {t} é\U0001f600 " * (t % 4)) for t in range(9)] + [("c", 4, "a", "tie"), ("c", 4, "a", "tie"), ("d", None, None, None), ("d", 1, "assistant", None), ("d", 2, "", ""), (None, 0, "assistant", "x")]
+    log = chat_format.turns_as_events(spark.createDataFrame(turns, "conv_id string, turn long, role string, text string").repartition(3))
+    assert {r.kind for r in log.collect()} == {"message", "regenerate", "delta", "edit"}
+    back = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.read_back(chat_format.render(chat_format.fold_events(log))).collect()}
+    want = {}
+    for c, t, role, text in sorted(turns, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert back == want
+    plan = chat_format.render(chat_format.fold_events(log))._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
 def test_chat_is_native(spark):
     events = spark.createDataFrame([("c", 1, None, "user", None, "a")], "conv_id string, seq long, message_id string, role string, kind string, text string")
     plan = chat_format.format_digest(chat_format.read_back(chat_format.render(chat_format.fold_events(events))))._jdf.queryExecution().toString()
