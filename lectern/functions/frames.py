@@ -1,4 +1,4 @@
-"""Physical helpers for frames that feed Python."""
+"""Physical helpers for frames of few small files."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 def spread(frame: DataFrame) -> DataFrame:
     """The frame, dealt to all cores if its few small files would keep most of them idle.
 
-    Only metadata is read.  An input with as many files as cores, or with a
-    scan partition for each core, stays where it lies.
+    Only metadata is read, and file names only of an input that would not give
+    each core a scan partition; any larger one, or one with as many files as
+    cores, stays where it lies.
     """
     spark = frame.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files = len(frame.inputFiles())
-    if not 0 < files < cores:
-        return frame
     conf = spark._jsparkSession.sessionState().conf()
-    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return frame.repartition(cores) if size < cores * conf.filesMaxPartitionBytes() else frame
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * conf.filesMaxPartitionBytes():
+        return frame
+    return frame.repartition(cores) if 0 < len(frame.inputFiles()) < cores else frame

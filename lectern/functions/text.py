@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: White space (Unicode, and the four ASCII separators) and the dashes that split words.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 DASHES = "[-‐-―]"
+DASH_CHARACTERS = "-‐‑‒–—―"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 MIN_LONG = 4
@@ -29,14 +30,22 @@ def match_tokens(word: Column) -> Column:
 
 
 def text_tokens(text: Column) -> Column:
-    """All normal tokens of a text in order."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), DASHES, " ")
-    return F.filter(F.transform(F.split(spaced, SPACES), clean_token), lambda t: t != "")
+    """All normal tokens of a text in order; the whole text is cleaned once and split once."""
+    apart = F.lower(F.translate(F.coalesce(text, F.lit("")), DASH_CHARACTERS, " " * len(DASH_CHARACTERS)))
+    bare = F.regexp_replace(apart, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]+", "")
+    return F.array_remove(F.split(bare, SPACES), "")
 
 
 def displayed_tokens(text: Column) -> Column:
-    """Structs (display, token) in order; each token keeps the word it came from."""
-    return F.flatten(F.transform(words(text), lambda w: F.transform(match_tokens(w), lambda t: F.struct(w.alias("display"), t.alias("token")))))
+    """Structs (display, token) in order; each token keeps the word it came from.
+
+    Words are parted by one space in the text and in its cleaned form alike, so
+    the two split into the same number of words.
+    """
+    shown = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
+    bare = F.regexp_replace(F.lower(F.translate(shown, DASH_CHARACTERS, "-" * len(DASH_CHARACTERS))), r"[^\p{L}\p{N}_ -]+", "")
+    both = F.arrays_zip(F.split(shown, " ").alias("display"), F.split(bare, " ").alias("parts"))
+    return F.flatten(F.transform(both, lambda w: F.transform(F.array_remove(F.split(w.parts, "-"), ""), lambda t: F.struct(w.display.alias("display"), t.alias("token")))))
 
 
 def letters_only(c: Column) -> Column:

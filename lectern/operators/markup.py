@@ -34,6 +34,10 @@ _CLOSED_BY = {
 }
 _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "thead": {"table"}, "tbody": {"table"}, "option": {"select"}, "p": {"table", "td", "th", "body", "html", "button"}}
 
+#: By start tag: the open elements that it ends, and those that shield what lies outside them.
+_ENDS = {tag: tuple(k for k, tags in _CLOSED_BY.items() if tag in tags) for tag in set().union(*_CLOSED_BY.values())}
+_SHIELDS = {tag: tuple(set().union(*(_SCOPE.get(k, set()) for k in ended))) for tag, ended in _ENDS.items()}
+
 
 @dataclass(eq=False)
 class Node:
@@ -64,31 +68,36 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.depths: dict[str, list[int]] = {}  # of the open elements, by name
 
     def _add(self, node: Node) -> Node:
         self.open[-1].children.append(node)
         return node
 
+    def _innermost(self, names: tuple[str, ...]) -> int:
+        """Depth of the innermost open element of these names, 0 without one."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def _close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.depths[self.open.pop().name].pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.open[depth].name
-            if tag in _CLOSED_BY.get(name, ()):
-                del self.open[depth:]
-                break
-            if any(name in _SCOPE.get(k, ()) for k in _CLOSED_BY if tag in _CLOSED_BY[k]):
-                break
+        ended = self._innermost(_ENDS.get(tag, ()))
+        if ended and ended >= self._innermost(_SHIELDS[tag]):
+            self._close(ended)
         node = self._add(Node(tag, dict(attrs)))
         if tag not in EMPTY:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self._add(Node(tag, dict(attrs)))
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].name == tag:
-                del self.open[depth:]
-                return
+        depth = self._innermost((tag,))
+        if depth:
+            self._close(depth)
 
     def handle_data(self, data: str) -> None:
         self._add(Node(text=data, kind="text"))
@@ -189,14 +198,22 @@ class _Piece:
 
     char: str
     node: Node | None
-    around: tuple[Node, ...]
+    around: _Around | None
+
+
+@dataclass(eq=False)
+class _Around:
+    """An inline element and, further out, those around it; siblings share the chain."""
+
+    node: Node
+    outer: _Around | None
 
 
 def _linear(block: Node) -> tuple[list[_Piece], dict[int, list[_Piece]]]:
     """The block's characters with their inline elements, and empty anchors by position."""
     pieces: list[_Piece] = []
     anchors: dict[int, list[_Piece]] = {}
-    stack: list[tuple[Node, tuple[Node, ...]]] = [(c, ()) for c in reversed(block.children)]
+    stack: list[tuple[Node, _Around | None]] = [(c, None) for c in reversed(block.children)]
     while stack:
         node, around = stack.pop()
         if node.kind == "text":
@@ -208,14 +225,15 @@ def _linear(block: Node) -> tuple[list[_Piece], dict[int, list[_Piece]]]:
         elif node.name == "a" and not node.children and (node.attrs.get("id") or node.attrs.get("name")):
             anchors.setdefault(len(pieces), []).append(_Piece("", Node("a", dict(node.attrs)), around))
         else:
-            inner = (*around, node) if node.name in INLINE else around
+            inner = _Around(node, around) if node.name in INLINE else around
             stack.extend((c, inner) for c in reversed(node.children))
     return pieces, anchors
 
 
-def _wrapped(node: Node, around: tuple[Node, ...]) -> Node:
-    for outer in reversed(around):
-        node = Node(outer.name, dict(outer.attrs), [node])
+def _wrapped(node: Node, around: _Around | None) -> Node:
+    while around:
+        node = Node(around.node.name, dict(around.node.attrs), [node])
+        around = around.outer
     return node
 
 
@@ -231,7 +249,7 @@ def _segment(pieces: list[_Piece], anchors: dict[int, list[_Piece]], a: int, b:
             i += 1
             continue
         j = i + 1
-        while j < b and pieces[j].node is None and pieces[j].around == piece.around and j not in anchors:
+        while j < b and pieces[j].node is None and pieces[j].around is piece.around and j not in anchors:
             j += 1
         run = Node(text="".join(p.char for p in pieces[i:j]), kind="text")
         out.children.append(_wrapped(run, piece.around) if run.text.strip() else run)

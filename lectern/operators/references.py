@@ -22,6 +22,7 @@ _NAME = r"-?(?:[A-Za-z_]|[^\x00-\x7F]|\\.)(?:[\w-]|[^\x00-\x7F]|\\.)*|--[\w-]*"
 _PART = re.compile(rf"(?P<string>{_STRING})|#(?P<id>[\w-]+|[^\x00-\x7F]+)|\.(?P<cls>{_NAME})|(?P<box>\[)|(?P<call>\()|.", re.S)
 _INNER = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})", re.S)
 _SCAN = re.compile(rf"{_STRING}|[{{}};]", re.S)
+_DECLARATION = re.compile(r"(?:[^;\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))+")
 _FRAGMENT = re.compile(r"#([^#\s\"']+)")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_-]+")
 
@@ -51,7 +52,7 @@ def rules(css: str) -> Iterator[tuple[str, str]]:
 
 def styles_something(block: str) -> bool:
     """Whether a declaration block has a property that shows."""
-    names = (d.partition(":") for d in re.split(r";(?=(?:[^\"']|\"[^\"]*\"|'[^']*')*$)", block))
+    names = (d.partition(":") for d in _DECLARATION.findall(block))
     return any(colon and name.strip() and name.strip().lower() not in INERT for name, colon, _ in names)
 
 

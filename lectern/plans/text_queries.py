@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.frames import spread
 from lectern.operators import windows as W
 
 from .base import SQL_SPACE, SQL_WINDOWS, sql_toks, table
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.tokenised(table(spark, sf_dir, "documents"), "doc_id")
+    return W.tokenised(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(T.displayed_tokens(F.col("text"))).alias("pos", "t"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode_outer(T.displayed_tokens(F.col("text"))).alias("pos", "t"))
     return rows.where("pos IS NOT NULL").select("doc_id", "pos", F.col("t.display").alias("display"), F.col("t.token").alias("token"))
 
 
