@@ -62,6 +62,11 @@ def without_extension(path: Column) -> Column:
     return F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
 
 
+def transcript_name(path: Column) -> Column:
+    """The transcript's file name of an audio file."""
+    return F.concat(without_extension(F.regexp_extract(path, "([^/]*)$", 1)), F.lit(".json"))
+
+
 def segment_prefix(path: Column) -> Column:
     return F.concat(F.lit("seg_"), identifier(without_extension(path)))
 

@@ -52,6 +52,8 @@ LANDMARKS = 384
 MIN_TIE = 2.5
 LEAST = 3
 _HASH_BITS = 20
+#: Characters that training and scoring work on at a time, so that temporaries stay small; a longer text is one part.
+_PART = 1 << 18
 TOP = 3
 FOLDS = 3
 SAMPLE = 3000
@@ -216,8 +218,8 @@ def _top(codes: np.ndarray, borders: np.ndarray, weights: np.ndarray) -> tuple[n
     best = np.zeros((len(borders) - 1, TOP))
     at = np.repeat(borders[:-1, None], TOP, axis=1)
     lo = 0
-    while lo < len(best):  # whole texts of about a million characters at a time
-        hi = max(lo + 1, int(np.searchsorted(borders, borders[lo] + (1 << 20), "right")) - 1)
+    while lo < len(best):  # whole texts, some at a time
+        hi = max(lo + 1, int(np.searchsorted(borders, borders[lo] + _PART, "right")) - 1)
         base = int(borders[lo])
         scores = window_scores(codes[base : borders[hi]], weights)
         for i in range(lo, hi):
@@ -277,16 +279,25 @@ def _pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.
     return tied + common, np.array([tie[w] for w in tied] + [0.0] * len(common))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Squared-hinge linear SVM by Newton steps on the violated rows; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def _svm(maps: np.ndarray, pick: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 12, block: int = 4096) -> np.ndarray:
+    """Squared-hinge linear SVM on the picked rows by Newton steps on the violated ones; the last weight is the bias.
+
+    Rows are taken in blocks, so nothing of the size of `maps` is held beside it.
+    """
+    size = maps.shape[1] + 1
+    w = np.zeros(size)
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        xa = x[active] * cost[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + np.diag(penalty), xa.T @ y[active])
+        active = np.flatnonzero(y * ((maps @ w[:-1].astype(np.float32))[pick] + w[-1]) < 1)
+        left, right = np.diag(penalty), np.zeros(size)
+        for lo in range(0, len(active), block):
+            some = active[lo : lo + block]
+            x = np.concatenate([maps[pick[some]].astype(np.float64), np.ones((len(some), 1))], axis=1)
+            weighted = x * cost[some, None]
+            left += weighted.T @ x
+            right += weighted.T @ y[some]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, rtol=1e-6, atol=1e-9):
             break
         w = new
@@ -319,11 +330,11 @@ def _logistic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def _codes_in_parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """text_codes of about a million characters at a time, so that its temporaries stay small."""
+    """text_codes of some texts at a time."""
     parts, borders, lo, size = [], [np.zeros(1, dtype=np.int64)], 0, 0
     for hi, text in enumerate(texts, 1):
         size += len(text)
-        if size >= 1 << 20 or hi == len(texts):
+        if size >= _PART or hi == len(texts):
             codes, some = text_codes(texts[lo:hi])
             parts.append(codes)
             borders.append(some[1:] + borders[-1][-1])
@@ -384,7 +395,7 @@ def _fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     def maps(starts: np.ndarray) -> np.ndarray:
         """Nyström maps of the windows at these positions."""
-        out = np.zeros((len(starts), nystrom.shape[1]))
+        out = np.zeros((len(starts), nystrom.shape[1]), dtype=np.float32)
         for lo in range(0, len(starts), 256):
             part = starts[lo : lo + 256]
             at = np.minimum(part[:, None] + np.arange(WINDOW), len(codes) - 1)
@@ -405,6 +416,7 @@ def _fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(7)
     clean = np.flatnonzero(y == 0)
     pool = np.array([], dtype=np.int64)
+    mapped, vectors = np.array([], dtype=np.int64), np.zeros((0, nystrom.shape[1]), dtype=np.float32)
     for _ in range(ROUNDS):
         best, at = _top(codes, borders, table)
         positive = at[y == 1, 0]
@@ -414,7 +426,10 @@ def _fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.concatenate([positive, pool])
         sign = np.concatenate([np.ones(len(positive)), -np.ones(len(pool))])
         cost = np.where(sign > 0, len(pool) / max(1, len(positive)), 1.0) * 0.5
-        w = _svm(maps(starts), sign, cost)
+        fresh = np.setdiff1d(starts, mapped)  # windows of earlier rounds keep their maps
+        mapped, vectors = np.concatenate([mapped, fresh]), np.concatenate([vectors, maps(fresh)])
+        order = np.argsort(mapped)
+        w = _svm(vectors, order[np.searchsorted(mapped, starts, sorter=order)], sign, cost)
         table[:] = 0
         table[features] = nystrom @ w[:-1]
     return features, table[features]

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.clock import clip_seconds
+from lectern.functions.clock import clip_seconds, lenient_seconds
 
 SUBSTANTIAL_S, SUBSTANTIAL_WORDS = 180.0, 300
 COVERAGE = 0.60
@@ -57,6 +57,39 @@ def coverage(clips: DataFrame, durations: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("ratio", F.when(F.col("duration") > 0, F.col("covered") / F.col("duration")).otherwise(F.lit(0.0)))
 
 
+def clip_counts(overlays: DataFrame, clips: DataFrame, key: str) -> DataFrame:
+    """(key, clip_count, covered) of the valid clips of every overlay; one without any has 0."""
+    valid = clips.where("valid").groupBy(key).agg(F.count("*").alias("clip_count"), F.sum(F.col("end") - F.col("begin")).alias("covered"))
+    return overlays.select(key).distinct().join(valid, key, "left").select(key, F.coalesce("clip_count", F.lit(0)).alias("clip_count"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
+
+
+def silent_overlays(overlays: DataFrame, clips: DataFrame, key: str) -> DataFrame:
+    """Overlays without a valid clip."""
+    return clip_counts(overlays, clips, key).where("clip_count = 0").select(key)
+
+
+def overlay_seconds(raw: DataFrame, key: str) -> DataFrame:
+    """(key, seconds) under an overlay's clips by the lenient clock: a missing clock is 0, one that is no number leaves its clip out, a negative length counts 0."""
+    begin, end = (lenient_seconds(F.coalesce(c, F.lit("0s"))) for c in (F.col("begin_raw"), F.col("end_raw")))
+    return raw.groupBy(key).agg(F.coalesce(F.sum(F.greatest(end - begin, begin - begin)), F.lit(0.0)).alias("seconds"))
+
+
+def ordered(findings: DataFrame, *order: str) -> DataFrame:
+    """Findings with their position in the order that a report lists them in.
+
+    Positions are counted over ranges of the order, so no task holds all findings.
+    """
+    if not order:
+        return findings.withColumn("position", F.lit(None).cast("long"))
+    ranged = findings.withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(*order, "_id").sortWithinPartitions(*order, "_id")
+    ranged = ranged.withColumn("_at", F.monotonically_increasing_id())
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_part", before.alias("_before"))  # one row a partition
+    return ranged.withColumn("_part", part).join(F.broadcast(shifts), "_part").withColumn("position", F.col("_before") + inside).drop("_id", "_at", "_part", "_before")
+
+
 def covered_union(clips: DataFrame, key: str) -> DataFrame:
     """(key, covered_once): time under at least one clip."""
     w = Window.partitionBy(key).orderBy("begin", "end")

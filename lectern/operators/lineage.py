@@ -18,6 +18,37 @@ def same_stamp(a: str, b: str) -> Column:
     return F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(a).eqNullSafe(F.col(b))
 
 
+#: The settings that a cut chunk depends on, and those of a transcript.
+CHUNK_SETTINGS = ("audio_codec", "audio_bitrate", "audio_sample_rate", "audio_channels", "chunk_seconds")
+TRANSCRIPT_SETTINGS = ("backend", "model", "language")
+
+
+def chunk_stamp(start: Column, end: Column, settings: str = "settings") -> Column:
+    """What a chunk was cut under: kind, codec settings and its planned times as written; no codec is "copy"."""
+    fields = [F.coalesce(F.col(f"{settings}.{n}"), F.lit("copy")).alias(n) if n == "audio_codec" else F.col(f"{settings}.{n}").alias(n) for n in CHUNK_SETTINGS]
+    return F.struct(F.lit("audio_chunk").alias("kind"), *fields, start.cast("string").alias("start_time"), end.cast("string").alias("end_time"))
+
+
+def transcript_stamp(parent: Column, settings: str = "settings") -> Column:
+    """What a transcript was made under, with the stamp of its chunk inside, so that cutting anew makes it stale."""
+    return F.struct(F.lit("transcript").alias("kind"), *(F.col(f"{settings}.{n}").alias(n) for n in TRANSCRIPT_SETTINGS), parent.alias("chunk_stamp"))
+
+
+def transcript_complete(exists: Column, stamp: Column, expected: Column) -> Column:
+    """Whether a transcript is there and was made under the current settings from the current chunk."""
+    return F.coalesce(exists, F.lit(False)) & stamp.isNotNull() & stamp.eqNullSafe(expected)
+
+
+def stamp_path(artifact: Column) -> Column:
+    """Where an artifact's stamp lies."""
+    return F.concat(artifact, F.lit(".meta"))
+
+
+def book_path(folder: Column, path: Column) -> Column:
+    """A path of a book: itself if absolute, else inside the book's folder."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.regexp_replace(folder, "/+$", ""), path))
+
+
 def chunk_complete(exists: Column, stamped: Column, start: Column, end: Column, actual: Column, codec: Column) -> Column:
     """Whether a cut chunk is there, was cut for this plan, and has the planned length within its codec's tolerance."""
     expected = expected_duration(start, end)

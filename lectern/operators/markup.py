@@ -305,6 +305,21 @@ def marked(markup: str, prefix: str, classes: frozenset | None = None, ids: froz
     return serialise(root), found
 
 
+def add_stylesheet(root: Node, href: str) -> None:
+    """A link to the stylesheet at the end of the head, unless it is there or the page has no head."""
+    head = next((n for n in root.elements() if n.name == "head"), None)
+    if head is None:
+        return
+    linked = (n for n in head.elements() if n.name == "link" and n.attrs.get("href") == href)
+    if not any("stylesheet" in (n.attrs.get("rel") or "").split() for n in linked):
+        head.children.append(Node("link", {"rel": "stylesheet", "href": href, "type": "text/css"}))
+
+
+def marked_segments(markup: str) -> list[tuple[str, str]]:
+    """(id, text) of the elements of a marked page whose id names a segment, in their order."""
+    return [(n.attrs["id"], "".join(n.strings())) for n in parse(markup).elements() if "-segment" in (n.attrs.get("id") or "")]
+
+
 def page_texts(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
     """(key, text): visible text of each page."""
     kind = pages.schema[key].dataType.simpleString()
@@ -352,3 +367,39 @@ def mark_pages(pages: DataFrame, key: str, known: Known, markup: str = "html") -
             yield out.astype({"seg_index": "Int32"})
 
     return spread(pages.select(key, markup)).mapInPandas(run, f"{key} {kind}, seg_index int, seg_id string, text string, error string")
+
+
+def mark_documents(pages: DataFrame, keys: list[str], prefix: str, known: Known, stylesheet: str, markup: str = "html") -> DataFrame:
+    """(keys, html, error): every page cleaned, marked and linked to the stylesheet; a page whose text would change keeps its markup and says so.
+
+    `prefix` and `stylesheet` name the columns with a page's segment prefix and
+    its link to the stylesheet.
+    """
+    kinds = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys)
+
+    def one(text: str, name: str, href: str) -> tuple[str, str | None]:
+        try:
+            root = parse(marked(text, name, *_names(known, text))[0])
+        except ValueError as error:
+            return text, str(error)
+        add_stylesheet(root, href)
+        return serialise(root), None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            done = [one(m or "", n, h) for m, n, h in zip(f[markup], f[prefix], f[stylesheet], strict=True)]
+            yield f[keys].assign(html=[d[0] for d in done], error=[d[1] for d in done])
+
+    return spread(pages.select(*keys, prefix, stylesheet, markup)).mapInPandas(run, f"{kinds}, html string, error string")
+
+
+def read_segments(pages: DataFrame, keys: list[str], markup: str = "html") -> DataFrame:
+    """(keys, seg_index, seg_id, text) of the segments that marked pages carry."""
+    kinds = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(*key, i, *s) for *key, m in f[[*keys, markup]].itertuples(index=False) for i, s in enumerate(marked_segments(m or ""))]
+            yield pd.DataFrame(rows, columns=[*keys, "seg_index", "seg_id", "text"])
+
+    return spread(pages.select(*keys, markup)).mapInPandas(run, f"{kinds}, seg_index int, seg_id string, text string")

@@ -35,6 +35,18 @@ def spans_adapter(rows: DataFrame) -> DataFrame:
     )
 
 
+def tuple_spans(rows: DataFrame, column: str = "match") -> DataFrame:
+    """Match rows given as arrays of strings: transcript, page and, if there is a third, score; `bad_tuples` has the others."""
+    t = F.col(column)
+    fits = rows.where(F.size(t) >= 2)
+    return spans_adapter(fits.select(F.get(t, F.lit(0)).alias("json_file"), F.get(t, F.lit(1)).alias("html_file"), F.get(t, F.lit(2)).try_cast("double").alias("score")))
+
+
+def bad_tuples(rows: DataFrame, column: str = "match") -> DataFrame:
+    """Match tuples of no known shape, which a caller has to reject."""
+    return rows.where(F.coalesce(F.size(column) < 2, F.lit(True)))
+
+
 def span_order(rows: DataFrame) -> DataFrame:
     """Adds the place of each span in its transcript."""
     order = Window.partitionBy("json_file").orderBy("span_index", "html_order", "candidate_index")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.clock import chunk_name
+
 from .timeline import last_writer
 
 #: Media types by kind, looked at in this order before the extension.
@@ -49,10 +51,64 @@ def wiring_issue(has_item: Column, has_overlay: Column, overlay_listed: Column,
     )
 
 
-def processed(entries: DataFrame, archive: str, entry: str) -> DataFrame:
-    """(archive, processed): whether an archive holds overlay files or the read-aloud stylesheet."""
+def processed(entries: DataFrame, archive: str, entry: str, items: DataFrame | None = None, overlay: str = "media_overlay") -> DataFrame:
+    """(archive, processed): whether an archive holds overlay files or the read-aloud stylesheet, or an item of its manifest names an overlay."""
     name = F.lower(entry)
-    return entries.groupBy(archive).agg(F.bool_or(name.rlike(r"(^|/)smil/") | name.endswith("readaloud.css")).alias("processed"))
+    facts = entries.groupBy(archive).agg(F.bool_or(name.rlike(r"(^|/)smil/") | name.endswith("readaloud.css")).alias("_files"))
+    if items is None:
+        return facts.select(archive, F.col("_files").alias("processed"))
+    wired = items.groupBy(archive).agg(F.bool_or(F.coalesce(F.col(overlay), F.lit("")) != "").alias("_wired"))
+    return facts.join(wired, archive, "left").select(archive, (F.col("_files") | F.coalesce("_wired", F.lit(False))).alias("processed"))
+
+
+def candidate_paths(output: Column, source: Column) -> Column:
+    """Where a book's package may lie, in order of preference and each once.
+
+    A working copy (.epub3) stands for the finished package one folder up,
+    itself, and the finished package beside it; a package for itself.
+    """
+
+    def family(path: Column) -> Column:
+        name, folder = F.regexp_extract(path, r"([^/]*)$", 1), F.regexp_replace(path, r"/?[^/]*$", "")
+        finished = F.regexp_replace(name, r"\.epub3", ".epub")
+        up = F.regexp_replace(folder, r"/?[^/]*$", "")
+        joined = lambda d, n: F.when(d == "", F.when(path.startswith("/"), F.concat(F.lit("/"), n)).otherwise(n)).otherwise(F.concat(d, F.lit("/"), n))
+        above = F.when(folder == "", F.concat(F.lit("../"), finished)).otherwise(joined(up, finished))
+        copy = F.array(above, path, joined(folder, finished))
+        return F.when(path.endswith(".epub3"), copy).when(path.endswith(".epub"), F.array(path)).otherwise(F.array().cast("array<string>"))
+
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(family(output), none), F.coalesce(family(source), none)))
+
+
+def opened(candidates: DataFrame, group: str, rank: str, require_processed: bool = False) -> DataFrame:
+    """The package of each group as `preferred` picks it; with `require_processed` a group without a processed one has null in its other columns."""
+    best = preferred(candidates, group, rank)
+    if not require_processed:
+        return best
+    kept = [F.when(F.col("processed"), F.col(c)).alias(c) for c in best.columns if c not in (group, "processed")]
+    return best.select(group, "processed", *kept)
+
+
+def ingested(files: DataFrame, book: str = "book", name: str = "name", audio: str | None = None) -> DataFrame:
+    """(book, epub, audio, working): the first package of each book's files by name, its first other file unless the audio is named, and the working copy's name."""
+    package = F.col(name).endswith(".epub")
+    picked = files.groupBy(book).agg(F.min(F.when(package, F.col(name))).alias("epub"), *([F.min(audio).alias("_named")] if audio else []))
+    other = files.join(picked.select(book, "epub"), book).where(F.col(name) != F.col("epub")).groupBy(book).agg(F.min(name).alias("_other"))
+    heard = F.coalesce(F.col("_named"), F.col("_other")) if audio else F.col("_other")
+    return picked.join(other, book, "left").select(book, "epub", heard.alias("audio"), F.regexp_replace("epub", r"\.epub", ".epub3").alias("working"))
+
+
+def chunk_files(files: DataFrame, book: str, name: str, extension: str) -> DataFrame:
+    """(book, name, position) of the numbered chunks among a book's files, in the order of their names."""
+    order = Window.partitionBy(book).orderBy(name)
+    return files.where(chunk_name(F.col(name), extension)).select(book, name, (F.row_number().over(order) - 1).alias("position"))
+
+
+def overlay_files(files: DataFrame, book: str, name: str) -> DataFrame:
+    """(book, name, position) of the overlay documents among a book's files, in the order of their names."""
+    order = Window.partitionBy(book).orderBy(name)
+    return files.where(F.col(name).endswith(".smil")).select(book, name, (F.row_number().over(order) - 1).alias("position"))
 
 
 def preferred(candidates: DataFrame, group: str, rank: str) -> DataFrame:
