@@ -62,25 +62,30 @@ def overlapping_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("overlap", F.round("overlap", 3))
 
 
-def invalid_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as written clip clocks, some of them broken on purpose."""
+def raw_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as written clip clocks, three an overlay, some of them broken on purpose."""
     i = F.col("event_id")
-    raw = table(spark, sf_dir, "events").select(
-        "event_id",
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.floor(i / 3).alias("overlay"),
         F.when(i % 11 != 0, F.concat(F.lit("a"), i.cast("string"))).alias("audio_file"),
         F.when(i % 7 == 0, F.lit("1:02")).otherwise(F.concat(i.cast("string"), F.lit(".5s"))).alias("begin_raw"),
         F.when(i % 13 == 0, F.lit("")).when(i % 5 == 0, F.concat((i - 1).cast("string"), F.lit("s"))).otherwise(F.concat((i + 2).cast("string"), F.lit(".25"))).alias("end_raw"),
-    )
-    return A.parse_clips(raw).where("NOT valid").select("event_id", "begin", "end", "problem")
+    )
+
+
+def invalid_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.parse_clips(raw_clips(spark, sf_dir)).where("NOT valid").select("event_id", "begin", "end", "problem")
 
 
 def overlay_without_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return customers.select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
+    rows = raw_clips(spark, sf_dir)
+    return A.silent_overlays(rows, A.parse_clips(rows), "overlay")
 
 
 def unmatched_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.unmatched_between(document_tokens(spark, sf_dir).select("doc_id", "n_tokens"), table(spark, sf_dir, "labels"), "doc_id")
+    """Unlabelled documents between labelled ones; every ninth stands for a contents page."""
+    contents = table(spark, sf_dir, "documents").where("doc_id % 9 = 0").select("doc_id")
+    return A.unmatched_between(document_tokens(spark, sf_dir).select("doc_id", "n_tokens"), table(spark, sf_dir, "labels"), "doc_id", contents=contents)
 
 
 def missing_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,17 +149,20 @@ _OVERLAPPING = f"""
     FROM c x JOIN c y ON x.user_id = y.user_id AND x.rn < y.rn AND y.b < x.e
     WHERE NOT (round(x.b, 3) = round(y.b, 3) AND round(x.e, 3) = round(y.e, 3)) AND least(x.e, y.e) - greatest(x.b, y.b) >= 0.5
 """
-_INVALID = """
-    WITH r AS (SELECT event_id, event_id % 11 <> 0 AS src, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id + 0.5::DOUBLE END AS b,
-                      CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 5 = 0 THEN CAST(event_id - 1 AS DOUBLE) ELSE event_id + 2.25::DOUBLE END AS e FROM events),
-         p AS (SELECT event_id, b AS "begin", e AS "end", CASE WHEN NOT src THEN 'src' WHEN b IS NULL THEN 'begin' WHEN e IS NULL THEN 'end' WHEN e <= b THEN 'order' END AS problem FROM r)
+SQL_RAW_CLIPS = """
+    clips AS (SELECT event_id, event_id // 3 AS overlay, event_id % 11 <> 0 AS src, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id + 0.5::DOUBLE END AS b,
+                     CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 5 = 0 THEN CAST(event_id - 1 AS DOUBLE) ELSE event_id + 2.25::DOUBLE END AS e FROM events)
+"""
+_INVALID = f"""
+    WITH {SQL_RAW_CLIPS},
+         p AS (SELECT event_id, b AS "begin", e AS "end", CASE WHEN NOT src THEN 'src' WHEN b IS NULL THEN 'begin' WHEN e IS NULL THEN 'end' WHEN e <= b THEN 'order' END AS problem FROM clips)
     SELECT * FROM p WHERE problem IS NOT NULL
 """
-_SILENT = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+_SILENT = f"WITH {SQL_RAW_CLIPS} SELECT overlay FROM clips GROUP BY overlay HAVING count(*) FILTER (WHERE src AND e > b) = 0"
 _SPINE = f"""
     WITH {sql_toks()}
     SELECT doc_id, CAST(n_tokens AS INTEGER) AS n_tokens FROM toks
-    WHERE doc_id BETWEEN (SELECT min(doc_id) FROM labels) AND (SELECT max(doc_id) FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels) AND n_tokens >= 80
+    WHERE doc_id BETWEEN (SELECT min(doc_id) FROM labels) AND (SELECT max(doc_id) FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels) AND n_tokens >= 80 AND doc_id % 9 <> 0
 """
 _WIRING = """
     WITH w AS (SELECT c_custkey, CASE WHEN n_nationkey IS NULL THEN 'no manifest item' WHEN c_acctbal < 0 THEN 'no overlay' WHEN r_name IS NULL THEN 'overlay not listed'

@@ -81,10 +81,11 @@ def media_duration_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns' first words as timed transcripts, even conversations in one layout and odd ones in the other."""
-    start = F.when(F.col("turn") % 5 != 3, F.col("turn") * 1.5)
-    word = F.struct(F.get(words(F.col("text")), F.lit(0)).alias("word"), start.alias("start"), (F.col("turn") * 1.5 + 1).alias("end"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", word.alias("w")))), lambda x: x.w).alias("w"))
+    """Turns as timed words, some without times, even conversations in one layout and odd ones in the other."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    at = F.col("turn") * 1000.0 + F.col("pos")
+    said = said.select("conv_id", F.struct("turn", "pos", F.struct("word", F.when((F.col("turn") + F.col("pos")) % 5 != 3, at).alias("start"), (at + 0.5).alias("end")).alias("w")).alias("x"))
+    rows = said.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.w).alias("w"))
     flat, nested = F.to_json(F.struct(F.col("w").alias("word_segments"))), F.to_json(F.struct(F.array(F.struct(F.col("w").alias("words"))).alias("segments")))
     texts = rows.select("conv_id", F.when(F.col("conv_id") % 2 == 0, flat).otherwise(nested).alias("json"))
     return audio_tokens(parse_transcripts(texts, "conv_id", "json"), "conv_id")
@@ -154,9 +155,10 @@ ORACLES = {
                || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') AS duration FROM t
     """,
     "transcript_layouts": rf"""
-        WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '{SQL_SPACE}'), lambda x: x <> '')[1] AS word FROM conversations WHERE turn % 5 <> 3),
-             p AS (SELECT conv_id, turn, word, unnest(regexp_split_to_array(word, '[-‐-―]')) AS part, generate_subscripts(regexp_split_to_array(word, '[-‐-―]'), 1) AS j FROM w),
-             c AS (SELECT conv_id, turn, j, word, regexp_replace(lower(part), '[^\p{{L}}\p{{N}}_]', '', 'g') AS token FROM p)
-        SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, j) - 1 AS INTEGER) AS idx, token, word, turn * 1.5::DOUBLE AS start, turn * 1.5::DOUBLE + 1 AS "end" FROM c WHERE token <> ''
+        WITH w0 AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '{SQL_SPACE}'), lambda x: x <> '') AS l FROM conversations),
+             w AS (SELECT conv_id, turn, unnest(range(len(l))) AS pos, unnest(l) AS word FROM w0),
+             p AS (SELECT conv_id, turn, pos, word, unnest(regexp_split_to_array(word, '[-‐-―]')) AS part, generate_subscripts(regexp_split_to_array(word, '[-‐-―]'), 1) AS j FROM w WHERE (turn + pos) % 5 <> 3),
+             c AS (SELECT conv_id, turn, pos, j, word, regexp_replace(lower(part), '[^\p{{L}}\p{{N}}_]', '', 'g') AS token FROM p)
+        SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos, j) - 1 AS INTEGER) AS idx, token, word, turn * 1000.0::DOUBLE + pos AS start, turn * 1000.0::DOUBLE + pos + 0.5 AS "end" FROM c WHERE token <> ''
     """,
 }
