@@ -12,6 +12,7 @@ from __future__ import annotations
 import difflib
 from collections import Counter
 from dataclasses import dataclass, field
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,13 +107,10 @@ class Book:
 
 
 def opens_with(probe: list[str], page: list[str]) -> bool:
-    """Whether a short page, up to a short heading, stands at the start of a probe."""
-    n = len(page)
-    for skip in range(max(0, min(MAX_SKIP, n - max(MIN_RUN, -int(-n * COVER // 1)))) + 1):
-        rest = page[skip:]
-        if len(rest) >= min(n, MIN_RUN) and any(probe[o : o + len(rest)] == rest for o in range(MAX_OFFSET + 1)):
-            return True
-    return False
+    """Whether a short page opens a probe, as `retrieval.page_prefixes` says for tables of both."""
+    least = max(MIN_RUN, ceil(COVER * len(page)))
+    rests = (page[skip:] for skip in range(min(MAX_SKIP, len(page) - least) + 1))
+    return any(probe[o : o + len(rest)] == rest for rest in rests for o in range(MAX_OFFSET + 1))
 
 
 def match_book(book: Book, transcripts: list[tuple[int, list[str]]]) -> list[dict]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,24 +60,29 @@ def close_timeline(rows: DataFrame, group: str, order: str, total: str) -> DataF
     return rows.withColumn("_end", F.coalesce(following, F.col(total))).withColumn("start", F.when(first, F.lit(0.0)).otherwise(F.col("start"))).withColumn("end", F.col("_end")).drop("_end")
 
 
+def merged(chapters: list[tuple[float, float]], least: float = MIN_CHAPTER_S) -> list[tuple[float, float]]:
+    """One book's chapters in order: one shorter than `least` takes in the next, a short last one joins the one before."""
+    out: list[tuple[float, float]] = []
+    for start, end in chapters:
+        if out and out[-1][1] - out[-1][0] < least:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    if len(out) > 1 and out[-1][1] - out[-1][0] < least:
+        out[-2:] = [(out[-2][0], out[-1][1])]
+    return out
+
+
 def merge_chapters(chapters: DataFrame, group: str, least: float = MIN_CHAPTER_S) -> DataFrame:
-    """(group, id, start, end): a chapter shorter than `least` takes in the next one, a short last one joins the one before."""
-    ordered = chapters.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))).alias("c"))
-    empty = F.array().cast("array<struct<start:double,end:double>>")
-
-    def step(acc, x):
-        top = F.element_at(acc, -1)
-        grow = (F.size(acc) > 0) & (top.end - top.start < F.lit(least))
-        kept = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(grow, F.concat(kept, F.array(F.struct(top.start.alias("start"), x.end.alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(x.start.alias("start"), x.end.alias("end")))))
-
-    merged = F.aggregate("c", empty, step)
-    rows = ordered.select(group, merged.alias("m"))
-    last, before = F.element_at("m", -1), F.try_element_at("m", F.lit(-2))
-    tail = (F.size("m") > 1) & (last.end - last.start < F.lit(least))
-    joined = F.concat(F.slice("m", 1, F.greatest(F.size("m") - 2, F.lit(0))), F.array(F.struct(before.start.alias("start"), last.end.alias("end"))))
-    rows = rows.select(group, F.posexplode(F.when(tail, joined).otherwise(F.col("m"))).alias("id", "x"))
-    return rows.select(group, "id", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    """(group, id, start, end) of each group's merged chapters; a group's chapters are read once, in one task."""
+    kind = chapters.schema[group].dataType.simpleString()
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = merged(sorted(zip(frame["start"], frame["end"], strict=True)), least)
+        return pd.DataFrame([(key[0], i, a, b) for i, (a, b) in enumerate(rows)], columns=[group, "id", "start", "end"])
+
+    rows = chapters.select(group, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, id int, start double, end double")
 
 
 def first_writer(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
