@@ -105,6 +105,26 @@ def chunk_files(files: DataFrame, book: str, name: str, extension: str) -> DataF
     return files.where(chunk_name(F.col(name), extension)).select(book, name, (F.row_number().over(order) - 1).alias("position"))
 
 
+def transcript_files(files: DataFrame, book: str, name: str) -> DataFrame:
+    """(book, name, position) of the transcripts among a book's files, in the order of their names."""
+    order = Window.partitionBy(book).orderBy(name)
+    return files.where(F.col(name).endswith(".json")).select(book, name, (F.row_number().over(order) - 1).alias("position"))
+
+
+def recovered(books: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:
+    """(book, audio, epub, working, opf, folder, depth) of books (book, audio, epub) whose sources and working copy are all there; others are not.
+
+    files: book, name; documents: book, name of the working copy, opf, depth.
+    """
+    wanted = books.select("book", "audio", "epub", F.regexp_replace("epub", r"\.epub$", ".epub3").alias("working"))
+    there = files.select("book", "name").distinct()
+    for column in ("audio", "epub"):
+        wanted = wanted.join(there.withColumnRenamed("name", column), ["book", column], "left_semi")
+    opened_copies = documents.select("book", F.col("name").alias("working"), "opf", "depth")
+    folder = F.when(F.col("opf").contains("/"), F.regexp_replace("opf", "/[^/]*$", "")).otherwise(".")
+    return wanted.join(opened_copies, ["book", "working"]).where("opf IS NOT NULL").select("book", "audio", "epub", "working", "opf", folder.alias("folder"), "depth")
+
+
 def overlay_files(files: DataFrame, book: str, name: str) -> DataFrame:
     """(book, name, position) of the overlay documents among a book's files, in the order of their names."""
     order = Window.partitionBy(book).orderBy(name)

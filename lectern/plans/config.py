@@ -55,6 +55,45 @@ class RunConfig:
         return out
 
 
+@dataclass(frozen=True)
+class RunPaths:
+    """Where a run keeps its work and what it delivers."""
+
+    root: Path
+    work: Path
+    logs: Path
+    state: Path
+    matches: Path
+    snapshot: Path
+    validation: Path
+    package: Path
+    output: Path
+
+
+def paths_of(config: RunConfig, root: str | Path, output: str | Path) -> RunPaths:
+    root, stem = Path(root), Path(config.book).stem
+    return RunPaths(root, root / "run", root / "logs", root / "state.json", root / "matched_list.json", root / "segmented.epub3", root / "validation.json", root / f"{stem}.epub", Path(output))
+
+
+def preflight(config: RunConfig) -> None:
+    """Raise if an input is missing or of the wrong kind, or the recogniser is unknown."""
+    for name in ("audio", "book"):
+        if not Path(getattr(config, name)).is_file():
+            raise FileNotFoundError(f"no {name} at {getattr(config, name)!r}")
+    if Path(config.book).suffix.lower() != ".epub":
+        raise ValueError(f"{config.book!r} is no .epub file")
+    if config.backend != "external" and config.backend not in _recognisers:
+        raise ValueError(f"no recogniser {config.backend!r}; there are {recognisers()}")
+
+
+# What a run says of how it starts.
+MODES = {"new": "new run", "resume": "resumed from compatible work", "reset": "derived results dropped, as inputs or settings changed; transcripts kept"}
+
+
+def describe_mode(mode: str) -> str:
+    return MODES.get(mode, MODES["new"])
+
+
 def now_iso() -> str:
     return datetime.now(UTC).isoformat(timespec="seconds")
 

@@ -189,5 +189,7 @@ def run(members: DataFrame, settings: DataFrame, durations: DataFrame, chapters:
     marked = {n: keep(f, n) for n, f in segment(prepared["pages"], spans).items()}
     timed = {n: keep(f, n) for n, f in synchronise(spans, tokens, marked["segments"], prepared["pages"], plan).items()}
     written = keep(package(prepared, marked["marked"], timed["clips"], timed["overlays"], plan, members, audio, folder), "written")
-    checks = keep(validate(prepared["pages"], spans, timed["clips"], timed["overlays"]), "checks")
+    named = prepared["pages"].join(navigation.contents_pages(prepared["documents"]), ["book", "path"], "left_semi")
+    contents = named.unionByName(prepared["pages"].where(packages.toc_like(F.col("html")))).select("book", "html_order").distinct()
+    checks = keep(validate(prepared["pages"], spans, timed["clips"], timed["overlays"], contents), "checks")
     return {**prepared, "plan": plan, "tokens": tokens, "spans": spans, **marked, **timed, "written": written, "checks": checks}

@@ -91,3 +91,20 @@ def parse_navigation(documents: DataFrame, key: str, ncx: str) -> DataFrame:
             yield out.astype({"parent_id": "Int32"})
 
     return documents.select(key, ncx).mapInPandas(run, f"{key} {kind}, id int, parent_id int, depth int, pos int, label string, href string")
+
+
+def contents_pages(documents: DataFrame) -> DataFrame:
+    """(book, path) of the pages that package documents (book, opf, xml) name as a table of contents; one that does not parse names none."""
+    kind = documents.schema["book"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for book, opf, xml in zip(f["book"], f["opf"], f["xml"], strict=True):
+                try:
+                    rows += [(book, p) for p in sorted(guide_paths(xml or "", opf.rpartition("/")[0] or "."))]
+                except ET.ParseError:
+                    continue
+            yield pd.DataFrame(rows, columns=["book", "path"])
+
+    return documents.select("book", "opf", "xml").mapInPandas(run, f"book {kind}, path string")

@@ -3,7 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import overlays
+from lectern.operators import overlays, packages
 from lectern.plans import config
 from lectern.sources import packaging
 
@@ -75,6 +75,31 @@ def test_settings_and_state(tmp_path):
     assert config.file_digest(audio)["size"] == 2 and config.file_fingerprint(tmp_path / "none") is None
 
 
+def test_run_paths_and_preflight(tmp_path):
+    audio, book = tmp_path / "a.mp3", tmp_path / "b.epub"
+    run = config.RunConfig(audio=str(audio), book=str(book))
+    paths = config.paths_of(run, tmp_path / "w", tmp_path / "out.epub")
+    assert paths.package.name == "b.epub" and paths.state.name == "state.json" and paths.work == tmp_path / "w" / "run"
+    with pytest.raises(FileNotFoundError):
+        config.preflight(run)
+    audio.write_bytes(b"x")
+    book.write_bytes(b"x")
+    config.preflight(run)
+    with pytest.raises(ValueError):
+        config.preflight(config.RunConfig(audio=str(audio), book=str(audio)))
+    with pytest.raises(ValueError):
+        config.preflight(config.RunConfig(audio=str(audio), book=str(book), backend="nobody"))
+    assert "kept" in config.describe_mode("reset") and config.describe_mode("x") == "new run"
+
+
+def test_recovered_books(spark):
+    books = spark.createDataFrame([("a", "a.mp3", "a.epub"), ("b", "b.mp3", "b.epub"), ("c", "c.mp3", "c.epub")], "book string, audio string, epub string")
+    files = spark.createDataFrame([("a", "a.mp3"), ("a", "a.epub"), ("b", "b.mp3"), ("c", "c.mp3"), ("c", "c.epub"), ("c", "001.json"), ("c", "000.json")], "book string, name string")
+    copies = spark.createDataFrame([("a", "a.epub3", "OPS/x.opf", 1), ("b", "b.epub3", "x.opf", 0), ("c", "c.epub3", None, None)], "book string, name string, opf string, depth int")
+    assert [tuple(r) for r in packages.recovered(books, files, copies).collect()] == [("a", "a.mp3", "a.epub", "a.epub3", "OPS/x.opf", "OPS", 1)]
+    assert [(r.name, r.position) for r in packages.transcript_files(files, "book", "name").orderBy("position").collect()] == [("000.json", 0), ("001.json", 1)]
+
+
 def test_recognisers(spark):
     import pandas as pd
 

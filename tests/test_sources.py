@@ -54,6 +54,11 @@ def test_navigation(spark):
     assert navigation.parse_navigation(frame, "k", "ncx").count() == 2
 
 
+def test_contents_pages(spark):
+    documents = spark.createDataFrame([("b", "OPS/x.opf", OPF), ("c", "x.opf", "<broken"), ("d", "x.opf", None)], "book string, opf string, xml string")
+    assert sorted(tuple(r) for r in navigation.contents_pages(documents).collect()) == [("b", "OPS/nav.xhtml"), ("b", "OPS/t/a.xhtml")]
+
+
 def test_overlays_round_trip(spark):
     clips = spark.createDataFrame([("k", 0, "t.xhtml", "s1", "a.mp3", 0.0, 1.25), ("k", 1, "t.xhtml", "s2", "a.mp3", 1.25, 1.25)], "k string, o int, href string, seg_id string, audio_file string, start double, end double")
     xml = smil.render_overlays(clips, "k", "href", "o")
