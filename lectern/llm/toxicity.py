@@ -31,10 +31,9 @@ are ignored, or kept as they are by keep_clean.
 from __future__ import annotations
 
 import pickle
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +50,6 @@ WINDOW = 24
 LANDMARKS = 384
 MIN_TIE = 2.5
 LEAST = 3
-_HASH_BITS = 20
 #: Characters that training and scoring work on at a time, so that temporaries stay small; a longer text is one part.
 _PART = 1 << 18
 TOP = 3
@@ -245,38 +243,41 @@ def _strings(text: str) -> set[str]:
     return out
 
 
-def _common(texts: list[str], least: int = 4096) -> Counter:
-    """Texts by string, of the `least` most common strings or a few more."""
-    mask = (1 << _HASH_BITS) - 1
-    hashed = np.zeros(1 << _HASH_BITS, dtype=np.int32)
-    for text in texts:
-        np.add.at(hashed, [hash(w) & mask for w in _strings(text)] or [], 1)
-    floor = max(1, int(np.partition(hashed, len(hashed) - least)[len(hashed) - least]))
-    often = (hashed >= floor).tolist()
-    return Counter(w for text in texts for w in _strings(text) if often[hash(w) & mask])
+def _string_numbers(texts: list[str]) -> tuple[list[np.ndarray], dict[int, str]]:
+    """Each text's strings as hashes, and the strings of those that at least LEAST texts hold.
+
+    Most strings are rare and are never kept as strings.
+    """
+    numbers = [np.unique(np.array([crc32(w.encode()) for w in _strings(t)], dtype=np.uint32)) for t in texts]
+    found, many = np.unique(np.concatenate(numbers), return_counts=True)
+    often = set(found[many >= min(LEAST, many.max(initial=1))].tolist())
+    names: dict[int, str] = {}
+    for t in texts:
+        for w in _strings(t):
+            if (h := crc32(w.encode())) in often:
+                names[h] = min(w, names.get(h, w))
+    return numbers, names
+
+
+def _counts(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(numbers) if numbers else np.zeros(0, np.uint32), return_counts=True)
 
 
-def _pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
+def _pick_landmarks(numbers: list[np.ndarray], toxic: np.ndarray, names: dict[int, str]) -> tuple[list[str], np.ndarray]:
     """Landmark strings, and how strongly each is tied to the toxic label (standard deviations over chance, 0 for common ones)."""
-    # Most strings are rare; hashed counts leave them out before any is held.
-    hashed = array("I", bytes(4 << _HASH_BITS))
-    mask = (1 << _HASH_BITS) - 1
-    for text, y in zip(texts, toxic, strict=True):
-        if y:
-            for w in _strings(text):
-                hashed[hash(w) & mask] += 1
-    bad = Counter(w for text, y in zip(texts, toxic, strict=True) if y for w in _strings(text) if hashed[hash(w) & mask] >= LEAST)
-    bad = {w: n for w, n in bad.items() if n >= LEAST}
-    seen: Counter = Counter()
-    for text in texts:
-        seen.update(w for w in _strings(text) if w in bad)
+    bad, n = _counts([x for x, y in zip(numbers, toxic, strict=True) if y])
+    bad, n = bad[n >= LEAST], n[n >= LEAST]
+    every, seen = _counts(numbers)
+    seen = seen[np.searchsorted(every, bad)]
     base = toxic.mean()
-    tie = {w: (n - base * seen[w]) / np.sqrt(base * (1 - base) * seen[w] + 1) for w, n in bad.items()}
-    tied = sorted((w for w in tie if tie[w] > MIN_TIE), key=lambda w: (-tie[w], w))[: LANDMARKS * 3 // 4]
+    tie = dict(zip(bad.tolist(), ((n - base * seen) / np.sqrt(base * (1 - base) * seen + 1)).tolist(), strict=True))
+    tied = sorted((h for h, t in tie.items() if t > MIN_TIE), key=lambda h: (-tie[h], names[h]))[: LANDMARKS * 3 // 4]
+    most = min(LANDMARKS - len(tied), max(32, len(tied)))
+    clean, m = _counts([x for x, y in zip(numbers, toxic, strict=True) if not y])
+    floor = np.sort(m)[-min(len(m), most + len(tied))] if len(m) else 0
     have = set(tied)
-    clean = _common([t for t, y in zip(texts, toxic, strict=True) if not y])
-    common = [w for w in sorted(clean, key=lambda w: (-clean[w], w)) if w not in have][: min(LANDMARKS - len(tied), max(32, len(tied)))]
-    return tied + common, np.array([tie[w] for w in tied] + [0.0] * len(common))
+    common = sorted(((-k, names[h]) for h, k in zip(clean[m >= floor].tolist(), m[m >= floor].tolist(), strict=True) if h in names and h not in have))[:most]
+    return [names[h] for h in tied] + [w for _, w in common], np.array([tie[h] for h in tied] + [0.0] * len(common))
 
 
 def _svm(maps: np.ndarray, pick: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 12, block: int = 4096) -> np.ndarray:
@@ -348,6 +349,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     none = np.zeros(0, np.int64), np.zeros(0, np.float32)
     if not len(y) or y.min() == y.max():
         return Machine(*none, np.zeros(TOP), 0.0, float(y.mean()) if len(y) else 0.0)
+    numbers, names = _string_numbers(texts)
     fold = np.zeros(len(y), dtype=np.int64)
     for label in (0, 1):
         rows = np.flatnonzero(y == label)
@@ -357,9 +359,9 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
         inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if not len(outside) or y[inside].min() == y[inside].max():
             continue
-        table = _table(*_fit([texts[i] for i in inside], y[inside]))
+        table = _table(*_fit([texts[i] for i in inside], y[inside], [numbers[i] for i in inside], names))
         unseen[outside], _ = _top(*_codes_in_parts([texts[i] for i in outside]), table)
-    features, values = _fit(texts, y)
+    features, values = _fit(texts, y, numbers, names)
     # Scores of texts left out are a little low, as their machines saw less; those of texts learnt from are high.
     seen, _ = _top(*_codes_in_parts(texts), _table(features, values))
     return Machine(features, values, *_logistic(np.concatenate([unseen, seen]), np.concatenate([y, y])))
@@ -371,9 +373,9 @@ def _table(features: np.ndarray, values: np.ndarray) -> np.ndarray:
     return t
 
 
-def _fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _fit(texts: list[str], y: np.ndarray, numbers: list[np.ndarray], names: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
     """Subsequence numbers and weights of the machine trained on these texts."""
-    landmarks, tie = _pick_landmarks(texts, y)
+    landmarks, tie = _pick_landmarks(numbers, y, names)
     if not landmarks:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     profiles = [_profile(w) for w in landmarks]
