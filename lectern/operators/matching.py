@@ -1,28 +1,35 @@
 """Ordered matching: transcripts of a book are placed forward through its pages.
 
-The fold over a book's transcripts scores the windows that share most with each,
-adds the order bonus, applies the acceptance rules and walks on into following
-pages.  A book is one group, its transcripts go in the order of their numbers;
-its windows, overlaps and ratios are computed in the same task, so a book has to
-fit the memory of one.
+A transcript's first window is the best of its shortlist, where windows behind
+the place last reached get a bonus; from there it runs on into following pages.
+Only the bonus depends on the transcripts before, so
+
+* windows, overlaps, shortlists and ratios of all transcripts are joined and
+  scored beforehand, spread by token, transcript and page;
+* each window that some place could make the first one is run on by itself, a
+  page a round, all transcripts of all books at once;
+* the fold over a book reads, for each transcript, its shortlist's scores, where
+  each of those runs ended, and the short pages that open it: a few numbers a
+  transcript, in the order of the transcripts' numbers.
 """
 
 from __future__ import annotations
 
-import difflib
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.frames import spread
+from lectern.functions.shared import keep
 from lectern.functions.text import MIN_LONG, text_tokens
 
-from .alignment import equal_runs
-from .retrieval import COVER, MAX_OFFSET, MAX_SKIP, MIN_OVERLAP, MIN_RUN, MIN_SCORE, SHORT_PAGE, WEIGHTS
-from .windows import MIN_TOKENS, MIN_WINDOW, PROBE, SHORTLIST, STEP, WINDOW
+from .alignment import best_runs, search_ranges
+from .retrieval import COVER, MAX_OFFSET, MAX_SKIP, MIN_OVERLAP, MIN_RUN, MIN_SCORE, SHORT_PAGE, WEIGHTS, page_prefixes, sequence_ratio
+from .windows import MIN_TOKENS, MIN_WINDOW, PROBE, SHORTLIST, STEP, WINDOW, probes, window_multiset, window_spans
 
 REWIND = 24
 
@@ -39,71 +46,17 @@ def spans_of(n: int) -> list[tuple[int, int]]:
     return [(s, s + WINDOW) for s in starts]
 
 
-@dataclass
-class Candidate:
-    page: int  # place of the page in the book
-    window: int
-    start: int
-    end: int
-    index: int
-    counts: Counter
-
-
-@dataclass
-class Book:
-    """A book's pages, its windows and an index from token to windows."""
-
-    orders: list[int]
-    pages: list[list[str]]
-    windows: list[Candidate] = field(default_factory=list)
-    by_token: dict[str, list[int]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        for page, tokens in enumerate(self.pages):
-            for w, (a, b) in enumerate(spans_of(len(tokens))):
-                c = Candidate(page, w, a, b, len(self.windows), Counter(t for t in tokens[a:b] if len(t) >= MIN_LONG))
-                for t in c.counts:
-                    self.by_token.setdefault(t, []).append(c.index)
-                self.windows.append(c)
-
-    def best(self, probe: list[str], floor: int, among: set[int] | None = None) -> tuple[Candidate | None, float, int]:
-        """Best-scored window of the shortlist, its score and overlap."""
-        wanted = Counter(t for t in probe if len(t) >= MIN_LONG)
-        total = sum(wanted.values())
-        overlap: Counter = Counter()
-        for t, n in wanted.items():
-            for i in self.by_token.get(t, ()):
-                if among is None or i in among:
-                    overlap[i] += min(n, self.windows[i].counts[t])
-        chosen, top, shared = None, 0.0, 0
-        for i, k in sorted(overlap.items(), key=lambda x: (-x[1], x[0]))[:SHORTLIST]:
-            c = self.windows[i]
-            ratio = difflib.SequenceMatcher(None, self.pages[c.page][c.start : c.end][: len(probe)], probe, autojunk=False).ratio()
-            score = WEIGHTS[0] * k / max(1, total) + WEIGHTS[1] * ratio + (WEIGHTS[2] if i >= floor else 0.0)
-            if score > top:
-                chosen, top, shared = c, score, k
-        return chosen, top, shared
-
-    def reach(self, page: int, audio: list[str], start: int, hint: int) -> int | None:
-        """Last audio position that aligns with the page from `start` on; None if there is nothing to align."""
-        text = self.pages[page]
-        if start >= len(audio) or not text:
-            return None
-        n = len(audio) - start
-        low = min(len(text), max(0, hint - 250))
-        high = min(len(text), max(hint + n + 400, low + n + 1200))
-        best, most = None, -1
-        for a, b in dict.fromkeys([(low, high), (low, len(text)), (0, len(text))]):
-            if a >= b:
-                continue
-            runs = equal_runs(text[a:b], audio[start:])
-            matched = sum(r[2] for r in runs)
-            if matched > most:
-                most = matched
-                best = start + max((r[1] + r[2] for r in runs), default=0) - 1
-            if matched >= max(25, int(n * 0.2)):
-                break
-        return best
+def long_counts(tokens: list[str]) -> Counter:
+    return Counter(t for t in tokens if len(t) >= MIN_LONG)
+
+
+def reach(text: list[str], audio: list[str], start: int, hint: int) -> int | None:
+    """Last audio position that aligns with a page from `start` on; None if there is nothing to align."""
+    if start >= len(audio) or not text:
+        return None
+    heard = audio[start:]
+    runs, _ = best_runs(text, heard, search_ranges(len(text), len(heard), hint, hint, True))
+    return start + max((b + n for _, b, n in runs), default=0) - 1
 
 
 def opens_with(probe: list[str], page: list[str]) -> bool:
@@ -113,74 +66,200 @@ def opens_with(probe: list[str], page: list[str]) -> bool:
     return any(probe[o : o + len(rest)] == rest for rest in rests for o in range(MAX_OFFSET + 1))
 
 
-def match_book(book: Book, transcripts: list[tuple[int, list[str]]]) -> list[dict]:
-    """Spans of the transcripts in order; one without a span says why."""
-    out: list[dict] = []
-    last_index = last_order = 0
+def rewound(end: int | None, cursor: int) -> int:
+    """Where a transcript goes on after a page that it matched up to `end`."""
+    return max(cursor, end - REWIND + 1) if end is not None and end >= 0 else cursor
 
-    def span(chunk: int, c: Candidate, score: float, number: int, start: int) -> dict:
-        return {"chunk": chunk, "reason": "ok", "html_order": book.orders[c.page], "window_index": c.window, "window_start": c.start, "window_end": c.end, "candidate_index": c.index, "span_index": number, "score": score, "audio_start": start, "page": c.page}
 
-    for chunk, audio in sorted(transcripts):
-        probe = audio[:PROBE]
-        if len(audio) < MIN_TOKENS or not any(len(t) >= MIN_LONG for t in probe):
-            out.append({"chunk": chunk, "reason": "short" if len(audio) < MIN_TOKENS else "no probe"})
-            continue
-        c, score, overlap = book.best(probe, max(0, last_index - 1))
-        if c is None:
-            out.append({"chunk": chunk, "reason": "no overlap"})
-            continue
-        if score >= MIN_SCORE and overlap >= MIN_OVERLAP:
-            spans = [span(chunk, c, score, 0, 0)]
-            end = book.reach(c.page, audio, 0, c.start)
-            cursor = max(0, end - REWIND + 1) if end is not None and end >= 0 else 0
-            page = c.page + 1
-            while cursor < len(audio) and page < len(book.pages):
-                near = {w.index for w in book.windows if w.page == page and w.start <= 2 * WINDOW}
-                near = near or {w.index for w in book.windows if w.page == page}
-                following = audio[cursor : cursor + PROBE]
-                if not near or not any(len(t) >= MIN_LONG for t in following):
-                    break
-                d, d_score, d_overlap = book.best(following, c.index, near)
-                if d is None or d_score < MIN_SCORE or d_overlap < MIN_OVERLAP:
-                    break
-                end = book.reach(page, audio, cursor, d.start)
-                if end is None or end <= cursor:
-                    break
-                spans.append(span(chunk, d, d_score, len(spans), cursor))
-                cursor = max(cursor, end - REWIND + 1)
-                page += 1
-        else:
-            short = next((w for w in book.windows if w.start == 0 and w.end < SHORT_PAGE and w.end <= MIN_WINDOW and book.orders[w.page] >= last_order and opens_with(probe, book.pages[w.page])), None)
-            if short is None:
-                out.append({"chunk": chunk, "reason": "below threshold"})
-                continue
-            spans = [span(chunk, short, score, 0, 0) | {"reason": "short page"}]
-        for s, following in zip(spans, [*spans[1:], None], strict=True):
-            s["audio_end"] = max(s["audio_start"], (following["audio_start"] if following else len(audio)) - 1)
-        out += spans
-        last_index = spans[-1]["candidate_index"]
-        last_order = max(last_order, spans[-1]["html_order"])
-    return out
+def next_page(audio: list[str], cursor: int, page: list[str]) -> tuple[int, float, int] | None:
+    """(window number, score, new cursor) of the page that follows a matched one, if the transcript runs on into it."""
+    from difflib import SequenceMatcher
+
+    following = audio[cursor : cursor + PROBE]
+    wanted, spans = long_counts(following), spans_of(len(page))
+    near = [i for i, (a, _) in enumerate(spans) if a <= 2 * WINDOW]
+    if not near or not wanted:
+        return None
+    shared = [(sum(min(n, c[t]) for t, n in wanted.items()), i) for i in near for c in [long_counts(page[slice(*spans[i])])]]
+    best, top, overlap = None, 0.0, 0
+    for k, i in sorted((x for x in shared if x[0]), key=lambda x: (-x[0], x[1]))[:SHORTLIST]:
+        ratio = SequenceMatcher(None, page[slice(*spans[i])][: len(following)], following, autojunk=False).ratio()
+        score = WEIGHTS[0] * k / sum(wanted.values()) + WEIGHTS[1] * ratio + WEIGHTS[2]
+        if score > top:
+            best, top, overlap = i, score, k
+    if best is None or top < MIN_SCORE or overlap < MIN_OVERLAP:
+        return None
+    end = reach(page, audio, cursor, spans[best][0])
+    if end is None or end <= cursor:
+        return None
+    return best, top, rewound(end, cursor)
+
+
+def choose(shortlist: list[tuple[int, float, int]], floor: int) -> tuple[int, float, int] | None:
+    """(window, score, overlap) of the shortlist's best (window, score without bonus, overlap) for this floor; the earlier one on ties."""
+    best = None
+    for window, score, overlap in shortlist:
+        score += WEIGHTS[2] if window >= floor else 0.0
+        if score > (best[1] if best else 0.0):
+            best = window, score, overlap
+    return best
+
+
+def possible(shortlist: list[tuple[int, float, int]]) -> list[int]:
+    """The accepted windows that `choose` gives for any floor."""
+    floors = [0, *(window + 1 for window, _, _ in shortlist)]
+    chosen = (choose(shortlist, f) for f in floors)
+    return sorted({c[0] for c in chosen if c and c[1] >= MIN_SCORE and c[2] >= MIN_OVERLAP})
+
+
+def _shortlists(pages: DataFrame, windows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(book, chunk, rank, window, html_order, window_index, score, overlap) of the windows that share most with each probe."""
+    wanted = asked.select("book", "chunk", F.explode("probe").alias("token")).where(F.length("token") >= MIN_LONG).groupBy("book", "chunk", "token").agg(F.count("*").alias("probe_n"))
+    counts = window_multiset(pages, "page", wanted.select("token").distinct()).select("page.book", "page.html_order", "window_index", "token", "n")
+    shared = counts.join(wanted, ["book", "token"]).groupBy("book", "chunk", "html_order", "window_index").agg(F.sum(F.least("n", "probe_n")).alias("overlap"))
+    rows = shared.join(windows, ["book", "html_order", "window_index"])
+    order = Window.partitionBy("book", "chunk").orderBy(F.desc("overlap"), F.asc("window"))
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SHORTLIST)
+    rows = rows.join(pages.select("page.book", "page.html_order", "tokens"), ["book", "html_order"]).join(asked.select("book", "chunk", "probe", "n_long"), ["book", "chunk"])
+    size = F.least(F.col("window_end") - F.col("window_start"), F.size("probe"))
+    ratio = sequence_ratio(F.slice("tokens", F.col("window_start") + 1, size), F.col("probe"))
+    score = F.lit(WEIGHTS[0]) * F.col("overlap") / F.col("n_long") + F.lit(WEIGHTS[1]) * ratio
+    return rows.select("book", "chunk", "rank", "window", "html_order", "window_index", "window_start", "window_end", score.alias("score"), "overlap")
+
+
+_RUN = "book string, chunk long, first long, number int, place long, html_order long, window_index int, window long, window_start int, window_end int, score double, audio_start int, cursor int"
+
+
+def _first_steps(starts: DataFrame) -> DataFrame:
+    """The first span of every possible start, with where it leaves the transcript."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["cursor"] = [rewound(reach(list(t), list(a), 0, s), 0) for t, a, s in zip(f["tokens"], f["audio"], f["window_start"], strict=True)]
+            yield f.assign(number=0, audio_start=0)[[c.split()[0] for c in _RUN.split(", ")]]
+
+    return starts.mapInPandas(run, _RUN)
+
+
+def _next_steps(active: DataFrame) -> DataFrame:
+    """The next span of every run that goes on into the page given with it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _RUN.split(", ")]
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                step = next_page(list(r.audio), r.cursor, list(r.tokens))
+                if step is not None:
+                    w, score, cursor = step
+                    a, b = spans_of(len(r.tokens))[w]
+                    rows.append((r.book, r.chunk, r.first, r.number + 1, r.next_place, r.next_order, w, r.first_window + w, a, b, score, r.cursor, cursor))
+            yield pd.DataFrame(rows, columns=names)
+
+    return active.mapInPandas(run, _RUN)
+
+
+def _runs(pages: DataFrame, windows: DataFrame, said: DataFrame, shortlists: DataFrame) -> DataFrame:
+    """Spans of every run that a transcript could take, from each window that could be its first."""
+    ranked = shortlists.groupBy("book", "chunk").agg(F.array_sort(F.collect_list(F.struct("rank", "window", "score", "overlap"))).alias("s"))
+
+    def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(b, c, w) for b, c, s in f.itertuples(index=False) for w in possible([(x["window"], x["score"], x["overlap"]) for x in s])]
+            yield pd.DataFrame(rows, columns=["book", "chunk", "window"])
+
+    first = ranked.mapInPandas(starts, "book string, chunk long, window long")
+    texts = pages.select("page.book", "page.html_order", "place", "tokens")
+    audio = said.select("book", "chunk", F.col("tokens").alias("audio"))
+    rows = first.join(shortlists, ["book", "chunk", "window"]).join(texts, ["book", "html_order"]).join(audio, ["book", "chunk"]).withColumn("first", F.col("window"))
+    opening = windows.where("window_index = 0").select("book", "html_order", F.col("window").alias("first_window"))
+    following = texts.join(opening, ["book", "html_order"], "left").withColumnRenamed("place", "next_place").withColumnRenamed("html_order", "next_order")
+    found = last = keep(_first_steps(rows), "match-run")
+    while True:  # a page a round, for the runs that still go on
+        ahead = last.withColumn("next_place", F.col("place") + 1).join(audio.withColumn("n_audio", F.size("audio")), ["book", "chunk"]).where("cursor < n_audio")
+        last = keep(_next_steps(ahead.join(following, ["book", "next_place"])), "match-run")
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last)
 
 
 _SCHEMA = "book string, chunk long, reason string, span_index int, html_order long, window_index int, window_start int, window_end int, candidate_index long, score double, audio_start int, audio_end int"
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
+def fold(book: str, transcripts: list[dict]) -> list[tuple]:
+    """Spans of a book's transcripts in the order of their numbers; one without a span says why.
+
+    Each has chunk, n (tokens), reason, shortlist, runs (spans by first window)
+    and shorts (window, html_order, window_end of the short pages that open it).
+    """
+    out: list[tuple] = []
+    last_window = last_order = 0
+    for t in sorted(transcripts, key=lambda t: t["chunk"]):
+        best = choose(t["shortlist"], max(0, last_window - 1)) if t["reason"] == "ok" else None
+        short = None
+        if best and not (best[1] >= MIN_SCORE and best[2] >= MIN_OVERLAP):
+            short = next((s for s in sorted(t["shorts"]) if s[1] >= last_order), None)
+        if best is None or (short is None and best[0] not in t["runs"]) or (short is None and not (best[1] >= MIN_SCORE and best[2] >= MIN_OVERLAP)):
+            reason = t["reason"] if t["reason"] != "ok" else "no overlap" if best is None else "below threshold"
+            out.append((book, t["chunk"], reason, *[None] * (len(_COLUMNS) - 3)))
+            continue
+        if short:
+            spans = [(short[1], 0, 0, short[2], short[0], best[1], 0)]
+        else:
+            run = t["runs"][best[0]]
+            spans = [(*run[0][:5], best[1], run[0][6]), *run[1:]]
+        for i, s in enumerate(spans):
+            end = max(s[6], (spans[i + 1][6] if i + 1 < len(spans) else t["n"]) - 1)
+            out.append((book, t["chunk"], "short page" if short else "ok", i, *s, end))
+        last_window = spans[-1][4]
+        last_order = max(last_order, spans[-1][0])
+    return out
+
+
 def match_books(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Spans of every transcript (book, chunk, text) in the pages (book, html_order, text) of its book.
 
-    Rejected transcripts get a row with the reason.  Books are independent; one
-    book's pages and transcripts meet in one task, as its fold is sequential.
+    Rejected transcripts get a row with the reason.  Texts never meet in the task
+    of a whole book; only the numbers that the fold needs do.
     """
-    left = pages.select("book", F.col("html_order").cast("long").alias("n"), text_tokens(F.col("text")).alias("tokens"))
-    right = transcripts.select(F.col("book").alias("book_of"), F.col("chunk").cast("long").alias("n"), text_tokens(F.col("text")).alias("tokens"))
+    tokenised = spread(pages.select("book", F.col("html_order").cast("long").alias("html_order"), "text")).select("book", "html_order", text_tokens(F.col("text")).alias("tokens"))
+    place = F.row_number().over(Window.partitionBy("book").orderBy("html_order"))
+    numbered = keep(tokenised, "match-tokens")
+    places = numbered.select("book", "html_order").withColumn("place", place.cast("long"))
+    texts = numbered.join(places, ["book", "html_order"]).select(F.struct("book", "html_order").alias("page"), "place", "tokens", F.size("tokens").alias("n_tokens"))
+    order = Window.partitionBy("book").orderBy("html_order", "window_index")
+    windows = window_spans(texts, "page").select("page.book", "page.html_order", "window_index", "window_start", "window_end")
+    windows = keep(windows.withColumn("window", (F.row_number().over(order) - 1).cast("long")), "match-windows")
+    said = keep(transcripts.select("book", F.col("chunk").cast("long").alias("chunk"), text_tokens(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens")), "match-said")
+    asked = probes(said.withColumn("key", F.struct("book", "chunk")), "key").select("key.book", "key.chunk", "n_tokens", "probe", "n_long", "reason")
+    usable = asked.where("reason = 'ok'")
+    shortlists = keep(_shortlists(texts, windows, usable), "match-shortlists")
+    runs = _runs(texts, windows, said, shortlists)
+
+    near = texts.where((F.col("n_tokens") >= MIN_TOKENS) & (F.col("n_tokens") < min(SHORT_PAGE, MIN_WINDOW + 1)))
+    opened = page_prefixes(near.withColumn("book", F.col("page.book")), "page", usable.withColumn("key", F.struct("book", "chunk")), "key", "book")
+    shorts = opened.select("probe_id.book", "probe_id.chunk", "page.html_order").join(windows.where("window_index = 0"), ["book", "html_order"])
+
+    def gathered(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy("book", "chunk").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    span = ["first", "number", "html_order", "window_index", "window_start", "window_end", "window", "score", "audio_start"]
+    per = asked.select("book", "chunk", F.col("n_tokens").alias("n"), "reason")
+    for rows, name, columns in ((shortlists, "shortlist", ["rank", "window", "score", "overlap"]), (runs, "runs", span), (shorts, "shorts", ["window", "html_order", "window_end"])):
+        per = per.join(gathered(rows, name, *columns), ["book", "chunk"], "left")
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("n")
-        book = Book(a["n"].tolist(), [list(t) for t in a["tokens"]])
-        rows = match_book(book, [(n, list(t)) for n, t in zip(b["n"], b["tokens"], strict=True)])
-        return pd.DataFrame([[key[0], *(r.get(c) for c in _COLUMNS[1:])] for r in rows], columns=_COLUMNS)
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        some = lambda x: [] if x is None else list(x)
+        transcripts = []
+        for r in frame.itertuples(index=False):
+            by_first: dict[int, list[tuple]] = {}
+            for s in some(r.runs):
+                by_first.setdefault(s["first"], []).append(tuple(s[c] for c in span[2:]))
+            transcripts.append({
+                "chunk": r.chunk, "n": r.n, "reason": r.reason, "shortlist": [(s["window"], s["score"], s["overlap"]) for s in some(r.shortlist)], "runs": by_first,
+                "shorts": [(s["window"], s["html_order"], s["window_end"]) for s in some(r.shorts)],
+            })
+        return pd.DataFrame(fold(frame["book"].iloc[0], transcripts), columns=_COLUMNS)
 
-    return left.groupBy("book").cogroup(right.groupBy("book_of")).applyInPandas(run, _SCHEMA)
+    return per.groupBy("book").applyInPandas(whole, _SCHEMA)

@@ -63,8 +63,8 @@ def best_windows(scored: DataFrame, probe_key: str) -> DataFrame:
     return best.withColumn("accepted", (F.col("score") >= MIN_SCORE) & (F.col("overlap") >= MIN_OVERLAP))
 
 
-def page_prefixes(pages: DataFrame, page_key: str, probes: DataFrame, probe_key: str) -> DataFrame:
-    """(page, probe) where a short page, up to a short heading, opens a probe.
+def page_prefixes(pages: DataFrame, page_key: str, probes: DataFrame, probe_key: str, group: str | None = None) -> DataFrame:
+    """(page, probe) of one group where a short page, up to a short heading, opens a probe.
 
     A page of n tokens may lose a heading of at most two tokens as long as
     max(3, ceil(0.6 n)) stay; all that stays must stand in the probe, starting at
@@ -73,10 +73,11 @@ def page_prefixes(pages: DataFrame, page_key: str, probes: DataFrame, probe_key:
     """
     n = F.size("tokens")
     skip = F.least(F.lit(MAX_SKIP), n - F.greatest(F.lit(MIN_RUN), F.ceil(n * F.lit(COVER)).cast("int")))
-    left = pages.where((n < SHORT_PAGE) & (skip >= 0)).select(F.col(page_key).alias("page"), "tokens", F.explode(F.sequence(F.lit(0), skip)).alias("h"))
-    left = left.select("page", F.slice("tokens", F.col("h") + 1, F.size("tokens")).alias("rest"), F.get("tokens", F.col("h")).alias("token"))
-    right = probes.select(F.col(probe_key).alias("probe_id"), "probe", F.posexplode(F.slice("probe", 1, MAX_OFFSET + 1)).alias("o", "token"))
-    met = left.join(right, "token").where(F.slice("probe", F.col("o") + 1, F.size("rest")) == F.col("rest"))
+    same = [F.col(group).alias("_group") if group else F.lit(0).alias("_group")]
+    left = pages.where((n < SHORT_PAGE) & (skip >= 0)).select(F.col(page_key).alias("page"), *same, "tokens", F.explode(F.sequence(F.lit(0), skip)).alias("h"))
+    left = left.select("page", "_group", F.slice("tokens", F.col("h") + 1, F.size("tokens")).alias("rest"), F.get("tokens", F.col("h")).alias("token"))
+    right = probes.select(F.col(probe_key).alias("probe_id"), *same, "probe", F.posexplode(F.slice("probe", 1, MAX_OFFSET + 1)).alias("o", "token"))
+    met = left.join(right, ["token", "_group"]).where(F.slice("probe", F.col("o") + 1, F.size("rest")) == F.col("rest"))
     return met.select("page", "probe_id").distinct()
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from html.parser import HTMLParser
 
+import one_book
 import pyarrow.parquet as pq
 import pytest
 
@@ -171,41 +172,43 @@ def test_chapters_of_a_long_book():
     assert len(got) == 20_000 and got[0] == (0.0, 10.0) and timeline.merged([(0.0, 50.0), (50.0, 55.0)], 10.0) == [(0.0, 55.0)]
 
 
-def test_fold_by_force(spark, sf_dir, tables):
-    """The first window of every transcript of every book, found by comparing it with all windows."""
-    rows = catalogue.QUERIES["ordered_match_fold"](spark, sf_dir).collect()
-    got = {(r.book, r.chunk): r for r in rows if r.span_index in (0, None)}
-    reached = {(r.book, r.chunk): r.candidate_index for r in sorted((r for r in rows if r.span_index is not None), key=lambda r: r.span_index)}
-    docs, items = tables["documents"], tables["benchmark"]
-    probes = {i: tokens(t) for i, t in zip(items.item_id, items.text, strict=True)}
-    checked = 0
+def rows_of_book(book, spans):
+    keys = ("reason", "span_index", "html_order", "window_index", "window_start", "window_end", "candidate_index", "audio_start", "audio_end")
+    return [(book, r["chunk"], *(r.get(k) for k in keys), None if r.get("score") is None else round(r["score"], 9)) for r in spans]
+
+
+def folded(frame):
+    rows = frame.select("book", "chunk", "reason", "span_index", "html_order", "window_index", "window_start", "window_end", "candidate_index", "audio_start", "audio_end", "score").collect()
+    return sorted(((*r[:-1], None if r.score is None else round(r.score, 9)) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_fold_by_force(spark, folder):
+    """Every span of every transcript of every book, against one book at a time in memory."""
+    docs, items = (pq.read_table(f"{folder}/{t}.parquet").to_pandas() for t in ("documents", "benchmark"))
+    said = [(i, tokens(t)) for i, t in zip(items.item_id, items.text, strict=True)]
+    want = []
     for book, part in docs.groupby("source"):
-        pages = [(d, tokens(t)) for d, t in sorted(zip(part.doc_id, part.text, strict=True))]
-        spans = [(p, d, w, a, b) for p, (d, t) in enumerate(pages) for w, a, b in windows(t)]
-        counts = [Counter(t for t in pages[p][1][a:b] if len(t) >= 4) for p, _, _, a, b in spans]
-        last = 0
-        for item in sorted(probes):
-            r, words = got[book, item], probes[item]
-            probe = words[:120]
-            wanted = Counter(t for t in probe if len(t) >= 4)
-            if len(words) < 5 or not wanted:
-                assert r.reason == ("short" if len(words) < 5 else "no probe")
-                continue
-            shared = sorted(((-sum(min(n, c[t]) for t, n in wanted.items()), i) for i, c in enumerate(counts)))
-            top = [(-k, i) for k, i in shared if k][:24]
-            if not top:
-                assert r.reason == "no overlap"
-                continue
-            scored = []
-            for k, i in top:
-                p, _, _, a, b = spans[i]
-                ratio = difflib.SequenceMatcher(None, pages[p][1][a:b][: len(probe)], probe, autojunk=False).ratio()
-                scored.append((0.7 * k / sum(wanted.values()) + 0.3 * ratio + 0.02 * (i >= max(0, last - 1)), k, i))
-            score, k, i = max(scored, key=lambda s: (s[0], -scored.index(s)))
-            if score >= 0.35 and k >= 6:
-                assert r.reason == "ok" and (r.html_order, r.window_index, r.candidate_index) == (spans[i][1], spans[i][2], i) and r.score == pytest.approx(score)
-                checked += 1
-            else:
-                assert r.reason in ("below threshold", "short page")
-            last = reached.get((book, item), last)
-    assert checked
+        pages = sorted((d, tokens(t)) for d, t in zip(part.doc_id, part.text, strict=True))
+        want += rows_of_book(book, one_book.match_book(one_book.Book([d for d, _ in pages], [t for _, t in pages]), said))
+    assert folded(catalogue.QUERIES["ordered_match_fold"](spark, folder)) == sorted(want, key=str)
+
+
+def test_fold_over_many_pages(spark):
+    """Books whose transcripts run over pages, skip back, share passages, and open with short pages."""
+    rng = random.Random(12)
+    books, said = {}, {}
+    for b in ("x", "y", "z"):
+        pages = [[f"{b}word{rng.randrange(900)}" for _ in range(rng.choice([3, 8, 15, 40, 170, 400]))] for _ in range(14)]
+        pages[5] = list(pages[2])
+        books[b] = pages
+        line = [t for p in pages for t in p]
+        cuts = sorted(rng.randrange(len(line)) for _ in range(7))
+        said[b] = [(k, [t if rng.random() > 0.08 else f"noise{rng.randrange(99)}" for t in line[x:y]]) for k, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(line)], strict=True))]
+        said[b] += [(20, line[:90]), (21, pages[3] + [f"other{i}" for i in range(30)]), (22, ["a", "b"]), (23, [])]
+    want = [r for b in books for r in rows_of_book(b, one_book.match_book(one_book.Book(list(range(14)), books[b]), said[b]))]
+    pages = spark.createDataFrame([(b, i, " ".join(p)) for b in books for i, p in enumerate(books[b])], "book string, html_order long, text string")
+    transcripts = spark.createDataFrame([(b, c, " ".join(t)) for b in said for c, t in said[b]], "book string, chunk long, text string")
+    got = folded(matching.match_books(pages, transcripts))
+    assert got == sorted(want, key=str)
+    assert max(r[3] or 0 for r in got) >= 2 and {"short", "ok"} <= {r[2] for r in got}

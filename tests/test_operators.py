@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import one_book
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,8 +120,8 @@ def _book():
 
 def test_fold_walks_forward():
     pages = _book()
-    book = matching.Book([0, 1, 2, 3], pages)
-    spans = matching.match_book(book, [(1, pages[0][:200]), (2, pages[2][200:] + pages[3][:150]), (3, pages[1] + ["tail"] * 30), (4, ["none"] * 9), (5, ["a", "b"])])
+    book = one_book.Book([0, 1, 2, 3], pages)
+    spans = one_book.match_book(book, [(1, pages[0][:200]), (2, pages[2][200:] + pages[3][:150]), (3, pages[1] + ["tail"] * 30), (4, ["none"] * 9), (5, ["a", "b"])])
     by_chunk = {c: [s for s in spans if s["chunk"] == c] for c in range(1, 6)}
     assert [s["html_order"] for s in by_chunk[1]] == [0]
     assert [s["html_order"] for s in by_chunk[2]] == [2, 3]
@@ -132,7 +133,7 @@ def test_fold_walks_forward():
 
 def test_fold_takes_short_pages():
     pages = _book()
-    spans = matching.match_book(matching.Book([0, 1, 2, 3], pages), [(1, pages[1] + [f"other{i}" for i in range(200)])])
+    spans = one_book.match_book(one_book.Book([0, 1, 2, 3], pages), [(1, pages[1] + [f"other{i}" for i in range(200)])])
     assert [(s["reason"], s["html_order"]) for s in spans] == [("short page", 1)]
 
 
