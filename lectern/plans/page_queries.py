@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import sentence_language
 from lectern.operators import markup, references, segmentation
 
 from .base import table
@@ -24,7 +25,8 @@ def mark_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.segments(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents").withColumn("model", sentence_language(F.col("lang")))
+    return segmentation.segments(docs, "doc_id", language="model")
 
 
 def reference_index(spark: SparkSession, sf_dir: str) -> DataFrame:
