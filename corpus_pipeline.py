@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; all but the last return the columns they got.  run() writes each
 stage's rows as Parquet in the shared work folder and reads them for the next.
+
+Defined results: a null text has no words, no personal data and no ids, is scored
+like an empty one and stays null until it is encoded; a row without doc_id is
+linked with no other and stays; of rows that share a doc_id the near-copy stage keeps one; an empty table gives
+an empty table; further columns stay as they are, whatever their names, up to the
+last stage.
 """
 
 from __future__ import annotations
