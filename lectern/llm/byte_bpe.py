@@ -41,7 +41,7 @@ from .bytekit import tidy
 from .workspace import bounded_batches
 
 #: Pre-tokens kept per generation of a worker's memo; two generations are held.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 100_000
 _LONG = 1 << 20
 #: Ranks of one leaf bitmap: 2**LEAF.
 LEAF = 8
@@ -69,10 +69,6 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _members(matches: list[str]) -> set[str]:
-    return set("".join(matches))
-
-
 @cache
 def stand_ins(pattern: str) -> dict[int, str]:
     """By code point, a character to split by in its place: one whose classes are those that tiktoken sees.
@@ -83,23 +79,23 @@ def stand_ins(pattern: str) -> dict[int, str]:
     """
     import tiktoken
 
-    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
-    text = "".join(points)
+    text = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     single = {bytes([b]): b for b in range(256)}
-    ours: dict[str, list[bool]] = {c: [] for c in points}
-    theirs: dict[str, list[bool]] = {c: [] for c in points}
-    for name in sorted(set(re.findall(r"\\p\{[^}]*\}|\\s", pattern))):
+    classes = np.zeros((2, 0x110000), dtype=np.uint32)  # bit k: in the k-th class
+
+    def mark(engine: int, k: int, members: str) -> None:
+        classes[engine, np.frombuffer(members.encode("utf-32-le"), dtype=np.uint32)] |= np.uint32(1 << k)
+
+    for k, name in enumerate(sorted(set(re.findall(r"\\p\{[^}]*\}|\\s", pattern)))):
         asked = tiktoken.Encoding(name, pat_str=name, mergeable_ranks=single, special_tokens={})
-        there = _members([bytes(asked.encode_ordinary(text)).decode()])
-        here = _members(regex.findall(name, text))
-        for c in points:
-            ours[c].append(c in here)
-            theirs[c].append(c in there)
-    usable = {}
-    for c in reversed(points):
-        if not c.isascii() and ours[c] == theirs[c]:
-            usable[tuple(ours[c])] = c
-    return {ord(c): usable[tuple(theirs[c])] for c in points if ours[c] != theirs[c]}
+        mark(0, k, "".join(regex.findall(name, text)))
+        mark(1, k, bytes(asked.encode_ordinary(text)).decode())
+    ours, theirs = classes
+    alike = np.flatnonzero((ours == theirs) & (np.arange(0x110000) >= 0x80))
+    alike = alike[(alike < 0xD800) | (alike >= 0xE000)]
+    kinds, first = np.unique(ours[alike], return_index=True)
+    usable = {int(k): chr(alike[i]) for k, i in zip(kinds, first, strict=True)}
+    return {int(c): usable[int(theirs[c])] for c in np.flatnonzero(ours != theirs)}
 
 
 def _ranges(points: list[int]) -> str:

@@ -280,6 +280,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, work: Workspace,
         number += "_"
     open_ = work.table(open_.withColumn(number, F.monotonically_increasing_id()), "open")
     scanned = open_.select(F.lit(0).cast("long").alias("doc_id"), "text", F.col(number).alias("row")).mapInArrow(bk.tidy(_scan(filters)), f"doc_id long, row long, n_words long, runs {_RUNS}")
+    scanned = work.table(scanned, "found")  # one Python worker a task at a time
     runs = scanned.select("row", F.explode("runs").alias("r")).select("row", "r.start", "r.words")
     hit = _occurrences(runs, windows, work, list(filters), width).select(F.col("row").alias(number)).distinct()
     return plain.unionByName(open_.join(hit, number, "left_anti").drop(number))

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -161,14 +162,14 @@ _ODD = re.compile("[" + re.escape(_odd_characters()) + "]")
 class Traced:
     """A text with the source range of each character."""
 
-    def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range):
+    def __init__(self, text: str, starts: array | range, ends: array | range):
         self.text, self.starts, self.ends = text, starts, ends
 
     def rewrite(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Traced:
         """Replace (start, end) by pieces (character, start, end), all in this text's offsets."""
         if not edits:
             return self
-        out, starts, ends, at = [], [], [], 0
+        out, starts, ends, at = [], array("Q"), array("Q"), 0  # no object a character
         for a, b, pieces in [*edits, (len(self.text), len(self.text), [])]:
             out.append(self.text[at:a])
             starts.extend(self.starts[at:a])

@@ -17,7 +17,7 @@ from .bytekit import tidy
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(frame: DataFrame) -> DataFrame:
@@ -75,13 +75,13 @@ CHUNK_BITS = 12
 
 
 def sketch_bits(frame: DataFrame, least: int = 20, most: int = 25) -> int:
-    """log2 of the counters of a frequency sketch over a frame's texts: one for each 64 bytes the scan is estimated at.
+    """log2 of the counters of a frequency sketch over a frame's texts: one for each 128 bytes the scan is estimated at.
 
     2**most counters (32 MB when sent out) is the largest; past that, each
     counter holds more neighbours and only more frequent entries stand out.
     """
     size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(most, max(least, (size // 64).bit_length()))
+    return min(most, max(least, (size // 128).bit_length()))
 
 
 def bucket_levels(frame: DataFrame, counter: Callable[[pa.RecordBatch, int], np.ndarray], bits: int) -> np.ndarray:
