@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,19 +123,21 @@ def _lists(percent: int):
     the fewest of them, the middle of its group; it leads the sets of its size
     block, and a set that no leader's size fits leads a block of its own.  The
     first and the last list of a partition may go on in another one, so they are
-    kept whatever their length.
+    kept whatever their length, and every entry says in which partition it lies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         held: tuple | None = None
         token_before: int | None = None
         leaders: list[tuple] = []
         first: int | None = None
 
         def batch_of(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["token", "rep", "n", "pos", "leads"])
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*made, pa.array([part] * len(rows), pa.int32())], ["token", "rep", "n", "pos", "leader", "leads", "part"])
 
         def led(row: tuple) -> tuple:
             token, rep, n, pos = row
@@ -143,7 +146,7 @@ def _lists(percent: int):
             fit = [x for x in leaders if 100 * min(x[2], n) >= percent * max(x[2], n)]
             if not fit:
                 leaders.append(row)
-            return (*row, [x[1] for x in fit if x[1] != rep and min(x[2] - x[3], n - pos) >= _overlap_needed(percent, x[2], n)])
+            return (*row, not fit, [x[1] for x in fit if x[1] != rep and min(x[2] - x[3], n - pos) >= _overlap_needed(percent, x[2], n)])
 
         for batch in batches:
             if not batch.num_rows:
@@ -240,7 +243,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = WIDTH, per
     entries = reps.mapInArrow(_entries, "token long, rep long, n long, pos int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = entries.repartitionByRange(parts, "token", "pos", "n", "rep").sortWithinPartitions("token", "pos", "n", "rep")
-    lists = work.table(lists.mapInArrow(bk.tidy(_lists(percent)), "token long, rep long, n long, pos int, leads array<long>"), "lists")
+    lists = work.table(lists.mapInArrow(bk.tidy(_lists(percent)), "token long, rep long, n long, pos int, leader boolean, leads array<long>, part int"), "lists")
 
     def reach(overlap: str, a: str = "n_a", b: str = "n_b") -> Column:
         """Whether an overlap is enough for sets of these sizes."""
@@ -266,8 +269,15 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = WIDTH, per
     def links_of(answers: DataFrame) -> DataFrame:
         return answers.where(reach("common")).select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v")
 
-    # The answers of each block's leader, and the components they give.
-    led = work.table(lists.select(F.explode("leads").alias("a"), F.col("rep").alias("b")).distinct(), "led")
+    # The answers of each block's leader, and the components they give.  A list that runs over partitions
+    # has leaders in each; its later parts also ask those of its first one, of which there are few a partition.
+    spans = lists.groupBy("token").agg(F.min("part").alias("first_part"), F.max("part").alias("last_part")).where("first_part < last_part")
+    cut = lists.join(F.broadcast(spans.select("token", "first_part")), "token")
+    heads = cut.where("part = first_part AND leader").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+    later = cut.where("part > first_part").select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), "pos")
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {100 + percent} * least(n_a - {{0}}, n_b - {{1}}) >= {percent} * (n_a + n_b)"
+    across = later.join(F.broadcast(heads), "token").where("a <> b AND " + fits.format("pos_a", "pos")).select("a", "b")
+    led = work.table(lists.select(F.explode("leads").alias("a"), F.col("rep").alias("b")).union(across).distinct(), "led")
     likely = work.table(bounded(led).where(reach("most")).select("a", "b").distinct(), "likely")
     answers = computed(likely, sets_for(likely, "a", "b"))
     # A document whose rows lie in several classes ties them together.
@@ -276,22 +286,22 @@ def jaccard_components(docs: DataFrame, work: Workspace, width: int = WIDTH, per
     first = work.table(components(links_of(answers).union(tied.where("u != v")), work), "first")
 
     # What is left: blocks of one list that lie in different components.
-    placed = work.table(lists.drop("leads").join(first, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")), "placed")
+    placed = work.table(lists.select("token", "rep", "n", "pos").join(first, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")), "placed")
     blocks = placed.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rem"))
-    met = blocks.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    blocks = blocks.join(met, "token", "left_semi")
-    # Sizes that link lie in the same class or the next, so a list meets itself class by class.
+    # Most lists lie in one component; only the blocks of the others are kept.
+    met = placed.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("token")
+    blocks = work.table(blocks.join(met, "token", "left_semi"), "blocks")
+    # The larger of two sizes that link lies in the class of the smaller or the next, so a list meets itself class by class.
     step = np.log(100 / percent) if percent < 100 else 1.0
     kind = lambda c: F.floor(F.log(F.col(c)) / F.lit(float(step)))
     near_sizes = blocks.select("token", "c", "lo", "hi", "rem", F.explode(F.sequence(kind("lo"), kind("hi"))).alias("size_class"))
-    far = blocks.select("token", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rem").alias("rem2"), F.explode(F.sequence(kind("lo") - 1, kind("hi") + 1)).alias("size_class"))
+    far = blocks.select("token", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rem").alias("rem2"), F.explode(F.sequence(kind("lo") - 1, kind("hi"))).alias("size_class"))
     can = f"100 * hi2 >= {percent} * lo AND 100 * hi >= {percent} * lo2 AND {100 + percent} * least(rem, rem2) >= {percent} * (lo + lo2)"
-    touch = near_sizes.join(far, ["token", "size_class"]).where(f"c < d AND {can}").select("token", "c", "d").distinct()
+    touch = near_sizes.join(far, ["token", "size_class"]).where(f"c <> d AND {can}").select("token", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()
     other = placed.select("token", F.col("c").alias("d"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     mine = placed.select("token", "c", F.col("rep").alias("a"), F.col("n").alias("n_a"), "pos")
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {100 + percent} * least(n_a - pos, n_b - pos_b) >= {percent} * (n_a + n_b)"
     asked_before = led.union(led.select("b", "a"))
-    rest = touch.join(mine, ["token", "c"]).join(other, ["token", "d"]).where(fits).select("a", "b", "n_a", "n_b").distinct()
+    rest = touch.join(mine, ["token", "c"]).join(other, ["token", "d"]).where(fits.format("pos", "pos_b")).select("a", "b", "n_a", "n_b").distinct()
     rest = work.table(rest.join(asked_before, ["a", "b"], "left_anti"), "rest")
 
     more = None

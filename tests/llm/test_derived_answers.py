@@ -63,3 +63,32 @@ def test_one_id_in_many_classes(spark):
     assert got == sorted([(5, 4), (5, 4), (9, 4), (4, 4), (7, 7), (None, None), (8, 8), (5, 5)], key=str)
     kept = jaccard_join.keep_one_of_each(docs.where("doc_id <> 5 OR text <> ''"), Workspace(spark, "t"), 3, 90)
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [4, 7, 8, None]
+
+
+@pytest.mark.parametrize("partitions", [2, 60])
+def test_leaders_do_not_depend_on_partitions(spark, partitions):
+    """One group of near copies whose lists run over many partitions: its sets meet their leaders, so few pairs are left to derive."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        own[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    left = []
+
+    class Counting(Workspace):
+        def table(self, frame, name="t", **options):
+            out = super().table(frame, name, **options)
+            if name == "rest":
+                left.append(out.count())
+            return out
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = jaccard_join.jaccard_components(docs, Counting(spark, "t"), 1, 90).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert {r.component_id for r in got} == {0} and left == [0]
