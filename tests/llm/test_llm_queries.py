@@ -56,12 +56,12 @@ def test_op3_base_spans(spark, sf_dir, docs):
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
 
 
-def jaccard_by_force(texts):
+def jaccard_by_force(texts, width=3, percent=90):
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
-        sets.append({tuple(w)} if 0 < len(w) < 3 else set(zip(w, w[1:], w[2:], strict=False)))
+        sets.append({tuple(w)} if 0 < len(w) < width else set(zip(*(w[k:] for k in range(width)), strict=False)))
     parent = list(range(len(sets)))
 
     def root(x):
@@ -72,9 +72,9 @@ def jaccard_by_force(texts):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and min(len(a), len(b)) * 100 >= 90 * max(len(a), len(b)):
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)):
                 k = len(a & b)
-                if 100 * k >= 90 * (len(a) + len(b) - k):
+                if 100 * k >= percent * (len(a) + len(b) - k):
                     parent[root(i)] = root(j)
     return sets, [root(i) for i in range(len(sets))]
 
@@ -137,7 +137,7 @@ def test_pipeline(spark, sf_dir, docs):
     toxic = {r.doc_id for r in Q.op1_toxicity(spark, sf_dir).where("predicted = 1").collect()}
     leaked = {r.doc_id for r in Q.op9_decontaminate(spark, sf_dir).where("contaminated").collect()}
     kept = [i for i in docs.doc_id if i not in toxic]
-    _, roots = jaccard_by_force([by_id[i] for i in kept])
+    _, roots = jaccard_by_force([by_id[i] for i in kept], 5, 80)  # the stage's own width and similarity, not op4's
     first = {}
     for i, r in sorted(zip(kept, roots, strict=True)):
         first.setdefault(r, i)
