@@ -41,7 +41,7 @@ from .bytekit import tidy
 from .workspace import bounded_batches
 
 #: Pre-tokens kept per generation of a worker's memo; two generations are held.
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 250_000
 _LONG = 1 << 20
 #: Ranks of one leaf bitmap: 2**LEAF.
 LEAF = 8
@@ -127,6 +127,7 @@ class Tokenizer:
         self.pattern = regex.compile(pattern)
         self.instead = stand_ins(pattern) if instead is None else instead
         self.odd = re.compile(_ranges(list(self.instead))) if self.instead else None
+        self.latin = min(self.instead, default=0x110000) > 0xFF  # no Latin-1 character needs a stand-in
         self.leaf = [0] * ((self.size >> LEAF) + 1)
         self.memo = _Memo(self, memo)
 
@@ -208,15 +209,27 @@ class Tokenizer:
             i = after[i]
         return out
 
+    def plain(self, text: str) -> bool:
+        """Whether no character needs a stand-in."""
+        if self.odd is None or text.isascii():
+            return True
+        if self.latin:
+            try:
+                text.encode("latin-1")
+                return True
+            except UnicodeEncodeError:
+                pass
+        return not self.odd.search(text)
+
     def pieces(self, text: str) -> Iterator[str]:
         """The text's pre-tokens."""
-        if self.odd is None or text.isascii() or not self.odd.search(text):
+        if self.plain(text):
             return (m.group() for m in self.pattern.finditer(text))
         return (text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.instead)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(text) <= _LONG and (text.isascii() or not self.odd or not self.odd.search(text)):
+        if len(text) <= _LONG and self.plain(text):
             return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
         found, parts = self.pieces(text), []
         while some := list(islice(found, 1 << 16)):
