@@ -209,7 +209,7 @@ def materialise(docs: DataFrame, work: Workspace, folder: str, vocabulary: bytes
     docs = bounded_batches(docs.select("text"))
     dictionary = _dictionary(docs, vocabulary, pattern, end, length)
     # Ids are compressed once, and stay so in the packed table and in the shuffle.
-    packed = work.table(docs.mapInArrow(_pack(vocabulary, pattern, end, length, dictionary), "part int, local long, n_ids int, ids binary"), "packed")
+    packed = work.table(docs, "packed", kernel=_pack(vocabulary, pattern, end, length, dictionary), schema="part int, local long, n_ids int, ids binary")
     counts = packed.groupBy("part").count().orderBy("part").collect()  # one row a scan task
     first, n = [], 0
     for r in counts:
@@ -224,7 +224,7 @@ def materialise(docs: DataFrame, work: Workspace, folder: str, vocabulary: bytes
     starts = docs.sparkSession.createDataFrame(first, "part int, first long")
     placed = packed.join(F.broadcast(starts), "part").mapInArrow(_assign(Feistel(n, key), per_shard), "shard long, slot long, number long, n_ids int, ids binary")
     ordered = placed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("slot")
-    index = work.table(ordered.mapInArrow(_write(folder, per_shard, stride, dictionary), "slot long, number long, shard long, byte_offset long, n_ids int, crc32 long"), "index")
+    index = work.table(ordered, "index", kernel=_write(folder, per_shard, stride, dictionary), schema="slot long, number long, shard long, byte_offset long, n_ids int, crc32 long")
     for file in fs.get_file_info(pafs.FileSelector(base)):
         if re.search(r"\.bin\.[0-9]+$", file.path):
             fs.delete_file(file.path)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.functions.frames import spread
 
-from .bytekit import tidy
+from .bytekit import Kernel, tidy
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -32,6 +36,50 @@ def bounded_batches(frame: DataFrame) -> DataFrame:
     return spread(frame)
 
 
+#: Bytes of a row group of a table that tasks write themselves.
+GROUP_BYTES = 8 << 20
+
+
+def _written(folder: str, kernel: Kernel | None) -> Kernel:
+    """Writes each partition's rows, as the kernel gives them, to one Parquet file of a folder; gives no rows.
+
+    A file takes its name when it is whole, so of several attempts of a task one
+    counts; names of files in the making begin with a dot, which readers skip.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}.parquet"
+        own = f"{folder}/.{name}.{task.taskAttemptId()}"
+        writer: pq.ParquetWriter | None = None
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            nonlocal writer
+            if writer is None:
+                writer = pq.ParquetWriter(own, held[0].schema)
+            writer.write_table(pa.Table.from_batches(held))
+            held.clear()
+
+        size = 0
+        for batch in kernel(batches) if kernel else batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GROUP_BYTES:
+                flush()
+                size = 0
+        if held:
+            flush()
+        if writer is not None:
+            writer.close()
+            os.replace(own, f"{folder}/{name}")
+        yield from ()
+
+    return run
+
+
 class Workspace:
     """A folder for intermediate tables under the cluster's shared checkpoint folder.
 
@@ -57,14 +105,33 @@ class Workspace:
         fs.mkdirs(folder)
         fs.deleteOnExit(folder)
         self._fs, self._n, self.latest = fs, 0, ""
-
-    def table(self, frame: DataFrame, name: str = "t", **options: str) -> DataFrame:
-        """Write a frame, with options for the writer, and return it read back."""
+        uri = fs.makeQualified(folder).toUri()
+        #: The folder's plain path, if it is one of the machine's or a mounted file system.
+        self.plain = str(uri.getPath()) if uri.getScheme() == "file" else ""
+
+    def table(self, frame: DataFrame, name: str = "t", *, kernel: Kernel | None = None, schema: str = "", direct: bool = False, **options: str) -> DataFrame:
+        """Write a frame, or what a kernel makes of it, with options for Spark's writer, and return it read back.
+
+        Hadoop's file system for plain files starts a process, chmod, for every
+        file, its checksum file and its folder: thousands in a query of many
+        tables.  A new process of the JVM shares all of the JVM's memory until it
+        runs its program, and what counts memory by process then counts it twice.
+        With `direct`, or a kernel, tasks write plain files themselves, a kernel's
+        rows without a way through the JVM.  Columns then have to be of types
+        that Arrow and Parquet share: numbers, texts, bytes, lists and records.
+        """
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        frame.write.options(**options).parquet(path)
+        kind = StructType.fromDDL(schema) if schema else frame.schema
+        if self.plain and (direct or kernel):
+            folder = f"{self.plain}/{path.rsplit('/', 1)[1]}"
+            os.makedirs(folder)
+            frame.mapInArrow(_written(folder, kernel), "nothing int").write.format("noop").mode("overwrite").save()
+        else:
+            made = frame.mapInArrow(kernel, schema) if kernel else frame
+            made.write.options(**options).parquet(path)
         self.latest = path
-        return self.spark.read.schema(frame.schema).parquet(path)
+        return self.spark.read.schema(kind).parquet(path)
 
     def remove(self, path: str) -> None:
         """Delete a table that nothing reads any more."""
@@ -211,23 +278,29 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], ["u", "v"])
 
 
+#: So few edges are united by one task, in some 60 MB.
+ONE_TASK = 1 << 17
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, component) of every node on an edge (u, v) but each component's least node, which names it.
 
-    Edges are first contracted inside each partition, then large-star and
-    small-star steps alternate (Kiveris et al., 2014) until nothing changes.
-    Each round is written out and the one before removed; the driver sees one
-    checksum a round.
+    Edges are first contracted inside each partition.  If no more than ONE_TASK
+    are left, one task contracts these; else large-star and small-star steps
+    alternate (Kiveris et al., 2014) until nothing changes.  Each round is
+    written out and the one before removed; the driver sees one checksum a round.
     """
-    stars = work.table(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").mapInArrow(_contract, "u long, v long"), "edges")
+    stars = work.table(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v"), "edges", kernel=_contract, schema="u long, v long")
     held, before = work.latest, None
+    if stars.count() <= ONE_TASK:
+        return work.table(stars.coalesce(1), "stars", kernel=_contract, schema="u long, v long").select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        stars = work.table(small, "stars")
+        stars = work.table(small, "stars", direct=True)
         work.remove(held)
         held = work.latest
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
