@@ -139,6 +139,8 @@ class Workspace:
 
 
 CHUNK_BITS = 12
+#: Partitions in which the driver fetches pieces of sketches; it runs a job for each, one after another.
+FETCHES = 8
 
 
 def sketch_bits(frame: DataFrame, least: int = 20, most: int = 25) -> int:
@@ -188,7 +190,7 @@ def bucket_levels(frame: DataFrame, counter: Callable[[pa.RecordBatch, int], np.
     schema = "piece int, counts binary"
     out = np.zeros(size, dtype=np.uint8)
     step = 1 << min(bits, CHUNK_BITS)
-    for piece, levels in frame.mapInArrow(tidy(count), schema).groupBy("piece").applyInArrow(add, schema).toLocalIterator():
+    for piece, levels in frame.mapInArrow(tidy(count), schema).groupBy("piece").applyInArrow(add, schema).coalesce(FETCHES).toLocalIterator():
         out[piece * step : (piece + 1) * step] = np.frombuffer(levels, dtype=np.uint8)
     return out
 
@@ -237,7 +239,7 @@ def bitmaps(frame: DataFrame, numbers: Callable[[pa.RecordBatch], Iterator[tuple
 
     schema = "key int, piece int, bits binary"
     out = {k: np.zeros(n, dtype=np.uint8) for k, n in sizes.items()}
-    for key, piece, held in frame.mapInArrow(tidy(mark), schema).groupBy("key", "piece").applyInArrow(unite, schema).toLocalIterator():
+    for key, piece, held in frame.mapInArrow(tidy(mark), schema).groupBy("key", "piece").applyInArrow(unite, schema).coalesce(FETCHES).toLocalIterator():
         out[key][piece * step : piece * step + len(held)] = np.frombuffer(held, dtype=np.uint8)
     return out
 
