@@ -1,9 +1,17 @@
-"""Physical helpers for frames of few small files."""
+"""Physical helpers: frames of few small files, batches to and from Python."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+#: About what a row takes in Python beside its strings.
+ROW_BYTES = 200
+
 
 def spread(frame: DataFrame) -> DataFrame:
     """The frame, dealt to all cores if its few small files would keep most of them idle.
@@ -19,3 +27,29 @@ def spread(frame: DataFrame) -> DataFrame:
     if size >= cores * conf.filesMaxPartitionBytes():
         return frame
     return frame.repartition(cores) if 0 < len(frame.inputFiles()) < cores else frame
+
+
+def bounded_batches(frame: DataFrame) -> DataFrame:
+    """The frame, spread over the cores if it is a few small files; batches sent to Python hold BATCH_BYTES at most, or one row.
+
+    By default a batch may hold 64 MB of rows, and a kernel's temporaries are a
+    multiple of its batch.
+    """
+    conf = frame.sparkSession.conf
+    if int(frame.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return spread(frame)
+
+
+def in_frames(rows: Iterable[tuple], columns: list[str], most: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
+    """The rows as frames of about `most` bytes, however many rows a batch of the input gives; rows are drawn as they are needed."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += ROW_BYTES + sum(len(x) for x in row if isinstance(x, str))
+        if size >= most:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)

@@ -15,27 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.functions.frames import spread
+from lectern.functions.frames import BATCH, BATCH_BYTES, bounded_batches, spread  # noqa: F401
 
 from .bytekit import Kernel, tidy
 
-
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(frame: DataFrame) -> DataFrame:
-    """The frame, spread over the cores if it is a few small files; batches sent to Python hold BATCH_BYTES at most, or one row.
-
-    By default a batch may hold 64 MB of rows, and a kernel's temporaries are a
-    multiple of its batch.
-    """
-    conf = frame.sparkSession.conf
-    if int(frame.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
-        conf.set(BATCH, str(BATCH_BYTES))
-    return spread(frame)
-
-
 #: Bytes of a row group of a table that tasks write themselves.
 GROUP_BYTES = 8 << 20
 
