@@ -2,9 +2,12 @@
 
 from contextlib import contextmanager
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import audits
+from lectern.functions.frames import BATCH_BYTES, in_frames
+from lectern.operators import audits, markup, segmentation
 
 
 @contextmanager
@@ -25,3 +28,32 @@ def test_positions_do_not_depend_on_how_ranges_are_joined(spark):
         got = [(r.k, r.position) for r in audits.ordered(rows, "k").select("k", "position").collect()]
     assert sorted(p for _, p in got) == list(range(20_000))
     assert all(p == k if k is not None else p >= 19_990 for k, p in got)
+
+
+SEGMENTS = "".join(f'<p id="c-segment{i}">word</p>' for i in range(120))
+KERNELS = {
+    "mark_pages": (lambda t: markup.mark_pages(t, "k", {}), "<p>One.</p>" * 120),
+    "page_texts": (lambda t: markup.page_texts(t, "k"), "<p>" + "word " * 8_000),
+    "clean_pages": (lambda t: markup.clean_pages(t, "k", {}), "<p>" + "word " * 8_000),
+    "read_segments": (lambda t: markup.read_segments(t, ["k"]), SEGMENTS),
+    "segments": (lambda t: segmentation.segments(t, "k", "html"), "One. " * 1_000),
+}
+
+
+@pytest.mark.parametrize("name", KERNELS)
+def test_frames_from_python_do_not_grow_with_the_batch(spark, monkeypatch, name):
+    kernels = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda self, run, schema: kernels.append(run))
+    query, page = KERNELS[name]
+    query(spark.createDataFrame([(1, page)], "k long, html string"))
+    batch = pd.DataFrame({"k": range(400), "html": page, "_model": "english"})[["k", "html", *(["_model"] if name == "segments" else [])]]
+    sizes = [f.memory_usage(deep=True).sum() for f in kernels[0](iter([batch]))]
+    assert len(sizes) > 1
+    assert max(sizes) <= 2 * BATCH_BYTES
+
+
+def test_rows_in_frames_are_all_rows():
+    rows = [(i, "x" * (i % 50)) for i in range(1_000)]
+    frames = list(in_frames(iter(rows), ["k", "t"], 5_000))
+    assert len(frames) > 10
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == rows
