@@ -29,6 +29,23 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if 0 < len(frame.inputFiles()) < cores else frame
 
 
+#: Bytes of input files that one task counts windows of; their counts take about 100 times as much.
+KEYED_BYTES = 2 << 20
+
+
+def by_key(frame: DataFrame, key: str) -> DataFrame:
+    """The frame, parted by a key into so many tasks that each gets about KEYED_BYTES of its files.
+
+    Whatever is counted by that key afterwards stays in its task: rows are moved
+    once, before they are exploded.
+    """
+    spark = frame.sparkSession
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # not known
+        return frame.repartition(key)
+    return frame.repartition(max(spark.sparkContext.defaultParallelism, -(-size // KEYED_BYTES)), key)
+
+
 def bounded_batches(frame: DataFrame) -> DataFrame:
     """The frame, spread over the cores if it is a few small files; batches sent to Python hold BATCH_BYTES at most, or one row.
 

@@ -56,7 +56,8 @@ def window_multiset(tokens: DataFrame, key: str, vocabulary: DataFrame | None =
 
     A token position lies in few windows, so positions are exploded once and each
     names its windows by arithmetic; a vocabulary (column token) drops positions
-    before that.
+    before that.  Tokens parted by the key (`frames.by_key`) are counted where they
+    are; others are moved as exploded rows.
     """
     at = tokens.select(key, "n_tokens", F.posexplode_outer("tokens").alias("pos", "token")).where((F.length("token") >= MIN_LONG) & (F.col("n_tokens") >= MIN_TOKENS))
     if vocabulary is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.frames import spread
+from lectern.functions.frames import by_key, spread
 from lectern.operators import windows as W
 
 from .base import SQL_SPACE, SQL_WINDOWS, sql_toks, table
@@ -16,6 +16,11 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.tokenised(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
+def keyed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' tokens, those of one document in one task, for counts by document."""
+    return W.tokenised(by_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
+
+
 def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode_outer(T.displayed_tokens(F.col("text"))).alias("pos", "t"))
     return rows.where("pos IS NOT NULL").select("doc_id", "pos", F.col("t.display").alias("display"), F.col("t.token").alias("token"))
@@ -27,7 +32,7 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.window_multiset(document_tokens(spark, sf_dir), "doc_id")
+    return W.window_multiset(keyed_tokens(spark, sf_dir), "doc_id")
 
 
 def probe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
