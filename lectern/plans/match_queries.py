@@ -10,7 +10,7 @@ from lectern.operators import retrieval as R
 from lectern.operators import windows as W
 
 from .base import SQL_WINDOWS, sql_tokens, sql_toks, table
-from .text_queries import document_tokens
+from .text_queries import document_tokens, keyed_tokens
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_window_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.overlaps(document_tokens(spark, sf_dir), "doc_id", _probes(spark, sf_dir), "item_id")
+    return R.overlaps(keyed_tokens(spark, sf_dir), "doc_id", _probes(spark, sf_dir), "item_id")
 
 
 def _shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:

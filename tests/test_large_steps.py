@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.frames import BATCH_BYTES, in_frames
 from lectern.operators import audits, markup, segmentation
+from lectern.plans import match_queries, text_queries
 
 
 @contextmanager
@@ -57,3 +58,21 @@ def test_rows_in_frames_are_all_rows():
     frames = list(in_frames(iter(rows), ["k", "t"], 5_000))
     assert len(frames) > 10
     assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == rows
+
+
+@pytest.mark.parametrize("query", [text_queries.window_multiset, match_queries.probe_window_overlap])
+def test_window_counts_are_not_moved(spark, sf_dir, query):
+    with settings(spark, spark_sql_adaptive_enabled="false"):
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not [line for line in moved if "window_index" in line]
+    assert any("hashpartitioning(doc_id" in line and "REPARTITION_BY_NUM" in line for line in moved)
+
+
+def test_tasks_of_a_key_grow_in_number_with_the_input(spark, sf_dir, monkeypatch):
+    from lectern.functions import frames
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = frames.by_key(docs, "doc_id").rdd.getNumPartitions()
+    monkeypatch.setattr(frames, "KEYED_BYTES", 1 << 13)
+    assert frames.by_key(docs, "doc_id").rdd.getNumPartitions() > few
