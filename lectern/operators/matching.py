@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.frames import spread
+from lectern.functions.frames import by_key, spread
 from lectern.functions.shared import keep
 from lectern.functions.text import MIN_LONG, text_tokens
 
@@ -115,12 +115,14 @@ def possible(shortlist: list[tuple[int, float, int]]) -> list[int]:
 def _shortlists(pages: DataFrame, windows: DataFrame, asked: DataFrame) -> DataFrame:
     """(book, chunk, rank, window, html_order, window_index, score, overlap) of the windows that share most with each probe."""
     wanted = asked.select("book", "chunk", F.explode("probe").alias("token")).where(F.length("token") >= MIN_LONG).groupBy("book", "chunk", "token").agg(F.count("*").alias("probe_n"))
-    counts = window_multiset(pages, "page", wanted.select("token").distinct()).select("page.book", "page.html_order", "window_index", "token", "n")
-    shared = counts.join(wanted, ["book", "token"]).groupBy("book", "chunk", "html_order", "window_index").agg(F.sum(F.least("n", "probe_n")).alias("overlap"))
-    rows = shared.join(windows, ["book", "html_order", "window_index"])
-    order = Window.partitionBy("book", "chunk").orderBy(F.desc("overlap"), F.asc("window"))
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SHORTLIST)
-    rows = rows.join(pages.select("page.book", "page.html_order", "tokens"), ["book", "html_order"]).join(asked.select("book", "chunk", "probe", "n_long"), ["book", "chunk"])
+    wanted = keep(wanted, "match-wanted")
+    counts = window_multiset(by_key(pages, "page"), "page", wanted.select("token").distinct()).withColumn("book", F.col("page.book"))
+    shared = counts.join(wanted, ["book", "token"]).groupBy("page", "chunk", "window_index").agg(F.sum(F.least("n", "probe_n")).alias("overlap"))
+    order = Window.partitionBy("book", "chunk").orderBy(F.desc("overlap"), F.asc("html_order"), F.asc("window_index"))  # as windows are numbered
+    ranked = shared.select("page.book", "chunk", "page.html_order", "window_index", "overlap").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SHORTLIST)
+    # a written table has a size, so the few rows go to the texts and not the texts to them
+    placed = keep(keep(ranked, "match-ranked").join(windows, ["book", "html_order", "window_index"]), "match-ranked")
+    rows = placed.join(pages.select("page.book", "page.html_order", "tokens"), ["book", "html_order"]).join(asked.select("book", "chunk", "probe", "n_long"), ["book", "chunk"])
     size = F.least(F.col("window_end") - F.col("window_start"), F.size("probe"))
     ratio = sequence_ratio(F.slice("tokens", F.col("window_start") + 1, size), F.col("probe"))
     score = F.lit(WEIGHTS[0]) * F.col("overlap") / F.col("n_long") + F.lit(WEIGHTS[1]) * ratio
@@ -159,7 +161,7 @@ def _next_steps(active: DataFrame) -> DataFrame:
     return active.mapInPandas(run, _RUN)
 
 
-def _runs(pages: DataFrame, windows: DataFrame, said: DataFrame, shortlists: DataFrame) -> DataFrame:
+def _runs(pages: DataFrame, places: DataFrame, windows: DataFrame, said: DataFrame, shortlists: DataFrame) -> DataFrame:
     """Spans of every run that a transcript could take, from each window that could be its first."""
     ranked = shortlists.groupBy("book", "chunk").agg(F.array_sort(F.collect_list(F.struct("rank", "window", "score", "overlap"))).alias("s"))
 
@@ -169,15 +171,19 @@ def _runs(pages: DataFrame, windows: DataFrame, said: DataFrame, shortlists: Dat
             yield pd.DataFrame(rows, columns=["book", "chunk", "window"])
 
     first = ranked.mapInPandas(starts, "book string, chunk long, window long")
-    texts = pages.select("page.book", "page.html_order", "place", "tokens")
+    texts = pages.select("page.book", "page.html_order", "tokens")
     audio = said.select("book", "chunk", F.col("tokens").alias("audio"))
-    rows = first.join(shortlists, ["book", "chunk", "window"]).join(texts, ["book", "html_order"]).join(audio, ["book", "chunk"]).withColumn("first", F.col("window"))
+    starting = keep(first.join(shortlists, ["book", "chunk", "window"]).join(places, ["book", "html_order"]), "match-starts")
+    rows = starting.join(texts, ["book", "html_order"]).join(audio, ["book", "chunk"]).withColumn("first", F.col("window"))
     opening = windows.where("window_index = 0").select("book", "html_order", F.col("window").alias("first_window"))
-    following = texts.join(opening, ["book", "html_order"], "left").withColumnRenamed("place", "next_place").withColumnRenamed("html_order", "next_order")
+    following = places.join(opening, ["book", "html_order"], "left").select("book", F.col("place").alias("next_place"), F.col("html_order").alias("next_order"), "first_window")
+    following = keep(following, "match-following")
+    lengths = said.select("book", "chunk", F.col("n_tokens").alias("n_audio"))
     found = last = keep(_first_steps(rows), "match-run")
     while True:  # a page a round, for the runs that still go on
-        ahead = last.withColumn("next_place", F.col("place") + 1).join(audio.withColumn("n_audio", F.size("audio")), ["book", "chunk"]).where("cursor < n_audio")
-        last = keep(_next_steps(ahead.join(following, ["book", "next_place"])), "match-run")
+        ahead = keep(last.withColumn("next_place", F.col("place") + 1).join(lengths, ["book", "chunk"]).where("cursor < n_audio").join(following, ["book", "next_place"]), "match-ahead")
+        ahead = ahead.join(texts.withColumnRenamed("html_order", "next_order"), ["book", "next_order"]).join(audio, ["book", "chunk"])
+        last = keep(_next_steps(ahead), "match-run")
         if last.isEmpty():
             return found
         found = found.unionByName(last)
@@ -224,10 +230,10 @@ def match_books(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
     of a whole book; only the numbers that the fold needs do.
     """
     tokenised = spread(pages.select("book", F.col("html_order").cast("long").alias("html_order"), "text")).select("book", "html_order", text_tokens(F.col("text")).alias("tokens"))
+    numbered = keep(tokenised.where("book IS NOT NULL AND html_order IS NOT NULL"), "match-tokens")
+    texts = numbered.select(F.struct("book", "html_order").alias("page"), "tokens", F.size("tokens").alias("n_tokens"))
     place = F.row_number().over(Window.partitionBy("book").orderBy("html_order"))
-    numbered = keep(tokenised, "match-tokens")
-    places = numbered.select("book", "html_order").withColumn("place", place.cast("long"))
-    texts = numbered.join(places, ["book", "html_order"]).select(F.struct("book", "html_order").alias("page"), "place", "tokens", F.size("tokens").alias("n_tokens"))
+    places = keep(numbered.select("book", "html_order").withColumn("place", place.cast("long")), "match-places")
     order = Window.partitionBy("book").orderBy("html_order", "window_index")
     windows = window_spans(texts, "page").select("page.book", "page.html_order", "window_index", "window_start", "window_end")
     windows = keep(windows.withColumn("window", (F.row_number().over(order) - 1).cast("long")), "match-windows")
@@ -235,7 +241,7 @@ def match_books(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
     asked = probes(said.withColumn("key", F.struct("book", "chunk")), "key").select("key.book", "key.chunk", "n_tokens", "probe", "n_long", "reason")
     usable = asked.where("reason = 'ok'")
     shortlists = keep(_shortlists(texts, windows, usable), "match-shortlists")
-    runs = _runs(texts, windows, said, shortlists)
+    runs = _runs(texts, places, windows, said, shortlists)
 
     near = texts.where((F.col("n_tokens") >= MIN_TOKENS) & (F.col("n_tokens") < min(SHORT_PAGE, MIN_WINDOW + 1)))
     opened = page_prefixes(near.withColumn("book", F.col("page.book")), "page", usable.withColumn("key", F.struct("book", "chunk")), "key", "book")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.frames import BATCH_BYTES, in_frames
-from lectern.operators import audits, markup, segmentation
+from lectern.operators import audits, markup, matching, segmentation
 from lectern.plans import match_queries, text_queries
 
 
@@ -76,3 +76,17 @@ def test_tasks_of_a_key_grow_in_number_with_the_input(spark, sf_dir, monkeypatch
     few = frames.by_key(docs, "doc_id").rdd.getNumPartitions()
     monkeypatch.setattr(frames, "KEYED_BYTES", 1 << 13)
     assert frames.by_key(docs, "doc_id").rdd.getNumPartitions() > few
+
+
+def test_matching_does_not_move_counts(spark, sf_dir, monkeypatch):
+    plans = []
+
+    def keep(frame, name, kept=matching.keep):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return kept(frame, name)
+
+    monkeypatch.setattr(matching, "keep", keep)
+    with settings(spark, spark_sql_adaptive_enabled="false"):
+        match_queries.ordered_match_fold(spark, sf_dir)
+    moved = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not [line for line in moved if "window_index" in line.split("hashpartitioning(")[1]]
